@@ -1,0 +1 @@
+"""The analysed dumps are immutable files, so nothing here is a stream; new dumps are added as table partitions."""
