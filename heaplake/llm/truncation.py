@@ -33,6 +33,8 @@ SAMPLE_DOCS = 5_000
 _PLACES = 24
 _CONTEXT = 240
 _BITS = 18
+#: Features of an ending.
+_WIDTH = 39
 _DIGITS = str.maketrans("123456789", "000000000")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _RUNS = re.compile(r"0+|\s+")
@@ -143,8 +145,10 @@ def _lessons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 i = int(np.searchsorted(starts, at)) - 1
                 kind = "none" if i < 0 or blind[len(cells) + j] else cells[i][0]
                 rows.append((1, breaks, _features(body, kind, fence, bool(text.count("```", 0, at) & 1))))
-            rows.append((2, ending(text[-_CONTEXT:])[1], []))
-        yield pd.DataFrame(rows, columns=["label", "breaks", "marks"])
+            rows.append((2, ending(text[-_CONTEXT:])[1], [0] * _WIDTH))
+        label, breaks, marks = zip(*rows) if rows else ((), (), ())
+        packed = [np.array(label, dtype="int8").tobytes(), np.array(breaks, dtype="int8").tobytes(), np.array(marks, dtype="int32").tobytes()]
+        yield pd.DataFrame([packed], columns=["label", "breaks", "marks"])
 
 
 def _sampled(docs: DataFrame, most: int) -> DataFrame:
@@ -156,17 +160,19 @@ def _sampled(docs: DataFrame, most: int) -> DataFrame:
 
 def fit_endings(docs: DataFrame, most: int = SAMPLE_DOCS, seed: int = 1) -> tuple[np.ndarray, list[float]]:
     """Weights of the ending model and the log ratios for 0, 1 and 2 trailing line ends, from ``most`` notebooks."""
-    lessons = _sampled(docs.select("doc_id", "text", "cells"), most).mapInPandas(_lessons, "label int, breaks int, marks array<int>").toPandas()
+    packed = _sampled(docs.select("doc_id", "text", "cells"), most).mapInPandas(_lessons, "label binary, breaks binary, marks binary").toArrow()
+    label, breaks, marks = (np.concatenate([np.frombuffer(b.as_buffer(), dtype=t) for b in packed.column(c)] or [np.empty(0, t)]) for c, t in (("label", "int8"), ("breaks", "int8"), ("marks", "int32")))
+    marks = marks.reshape(-1, _WIDTH)
+    del packed
     weights = np.zeros((1 << _BITS) + 1, dtype="float32")
     ratio = [0.0, 0.0, 0.0]
-    taught = lessons[lessons["label"] < 2]
-    if taught["label"].nunique() < 2:
+    counts = np.bincount(label, minlength=3)
+    if not counts[0] or not counts[1]:
         return weights, ratio
-    marks = np.stack(taught["marks"].to_numpy()).astype("int32")
-    label = taught["label"].to_numpy(dtype="float32")
+    taught = np.flatnonzero(label < 2)
     rng, square = np.random.default_rng(seed), np.full(len(weights), 1e-2, dtype="float32")
     for _ in range(5):
-        order = rng.permutation(len(label))
+        order = rng.permutation(taught)
         for at in range(0, len(order), 256):
             rows = order[at : at + 256]
             idx = marks[rows]
@@ -177,10 +183,9 @@ def fit_endings(docs: DataFrame, most: int = SAMPLE_DOCS, seed: int = 1) -> tupl
             np.add.at(square, flat, step * step)
             np.add.at(weights, flat, -0.06 * step / np.sqrt(square[flat]))
             weights[-1] -= 0.05 * g.mean()
-    balance = math.log(label.mean() / (1 - label.mean()))
-    weights[-1] -= balance
-    cut = np.bincount(taught.loc[taught["label"] == 1, "breaks"], minlength=3) + 1.0
-    own = np.bincount(lessons.loc[lessons["label"] == 2, "breaks"], minlength=3) + 1.0
+    weights[-1] -= math.log(counts[1] / counts[0])
+    cut = np.bincount(breaks[label == 1], minlength=3) + 1.0
+    own = np.bincount(breaks[label == 2], minlength=3) + 1.0
     return weights, np.log((cut / cut.sum()) / (own / own.sum())).tolist()
 
 
