@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,23 +209,29 @@ def _evaluate(fractions: Sequence[float]):
         found = [int(values[min(len(values) - 1, int(np.searchsorted(cum, r)))]) for r in ranks]
         return (*key, n, lo, hi, sum(e for _, _, e in held), found)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*_KEYS, "n", "min_value", "max_value", "rank_error", "found"]
+    def show(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.date32(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[*_KEYS, "n", "min_value", "max_value", "rank_error", "found"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, lo, hi = None, [], None, None
-        for frame in batches:
+        for batch in batches:
             out = []
-            for m, g, d, level, err, a, b, vals in zip(*(frame[c].tolist() for c in ("measure", "grp", "day", "level", "err", "lo", "hi", "vals"))):
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6, 7)]
+            offsets, values = batch.column(8).offsets.to_numpy(), batch.column(8).values.to_numpy(zero_copy_only=False)
+            for i, (m, g, d, level, err, a, b) in enumerate(zip(*columns)):
                 key = (m, g, d)
                 if key != current:
                     if held:
                         out.append(finish(current, held, lo, hi))
                     current, held, lo, hi = key, [], None, None
-                held.append((level, vals, err))
-                if a is not None and a == a:
-                    lo, hi = (int(a), int(b)) if lo is None else (min(lo, int(a)), max(hi, int(b)))
-            yield pd.DataFrame(out, columns=names).astype({"n": "Int64", "min_value": "Int64", "max_value": "Int64", "rank_error": "Int64"})
+                held.append((level, values[offsets[i] : offsets[i + 1]], err))
+                if a is not None:
+                    lo, hi = (a, b) if lo is None else (min(lo, a), max(hi, b))
+            yield show(out)
         if held:
-            yield pd.DataFrame([finish(current, held, lo, hi)], columns=names).astype({"n": "Int64", "min_value": "Int64", "max_value": "Int64", "rank_error": "Int64"})
+            yield show([finish(current, held, lo, hi)])
 
     return run
 
@@ -238,5 +243,5 @@ def percentiles(states: DataFrame, fractions: dict[str, float]) -> DataFrame:
     ranks; with rank_error 0 it is exact, as are min_value and max_value always. A summary of no values gives nulls.
     """
     sorted_ = states.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "level")
-    rows = sorted_.mapInPandas(_evaluate(list(fractions.values())), "measure string, grp string, day date, n long, min_value long, max_value long, rank_error long, found array<long>")
+    rows = sorted_.mapInArrow(_evaluate(list(fractions.values())), "measure string, grp string, day date, n long, min_value long, max_value long, rank_error long, found array<long>")
     return rows.select(*_KEYS, "n", "min_value", "max_value", "rank_error", *[F.col("found")[i].alias(c) for i, c in enumerate(fractions)])
