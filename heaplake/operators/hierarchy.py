@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +25,27 @@ _LEVEL = "tree string, grp long, node long, parent long, dist long, top long, lo
 _KEY = ["tree", "grp", "node"]
 
 
+def _ints(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A long column's values (0 where null) and where it isn't null. Never by way of floats, which round large ids."""
+    column = table.column(name).combine_chunks()
+    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _nullable(values: np.ndarray, given: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.int64(), mask=~given)
+
+
 class _Links:
     """Local positions of the nodes of one bucket and of their parents (``end``: not in this bucket)."""
 
-    def __init__(self, frame: pd.DataFrame):
-        n = self.end = len(frame)
-        groups = frame.groupby(["tree", "grp"], sort=False, dropna=False).ngroup().to_numpy()
-        node = frame["node"].to_numpy(dtype="int64")
-        self.linked = frame["parent"].notna().to_numpy()
-        parent = frame["parent"].fillna(0).to_numpy(dtype="int64")
-        ids, at = np.unique(np.concatenate([node, parent]), return_inverse=True)
+    def __init__(self, table: pa.Table):
+        n = self.end = table.num_rows
+        trees = table.column("tree").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype("int64")
+        groups, at = np.unique(_ints(table, "grp")[0], return_inverse=True)
+        groups = trees * len(groups) + at
+        node = _ints(table, "node")[0]
+        self.up, self.linked = _ints(table, "parent")
+        ids, at = np.unique(np.concatenate([node, self.up]), return_inverse=True)
         own = groups * np.int64(len(ids)) + at[:n]
         up = np.where(self.linked, groups * np.int64(len(ids)) + at[n:], -1)
         order = np.argsort(own, kind="stable")
@@ -42,12 +53,8 @@ class _Links:
         self.parent = np.append(np.where(own[order][spot] == up, order[spot], n), n)
 
 
-def _nullable(values: np.ndarray, given: np.ndarray) -> pd.Series:
-    return pd.Series(pd.array(values, dtype="Int64")).where(pd.Series(given))
-
-
-def _joined_segments(segs: list, links: _Links, rows: np.ndarray, steps: np.ndarray) -> list:
-    """For each of ``rows`` the segments met on ``steps`` links upward, joined in order."""
+def _joined_segments(segs: pa.ListArray, links: _Links, rows: np.ndarray, steps: np.ndarray) -> pa.ListArray:
+    """A list per node: for ``rows`` the segments met on ``steps`` links upward, joined in order; null for the others."""
     at, left, active, whose, met = rows.copy(), steps.copy(), np.arange(len(rows)), [], []
     while len(active):
         whose.append(active)
@@ -55,28 +62,28 @@ def _joined_segments(segs: list, links: _Links, rows: np.ndarray, steps: np.ndar
         at[active] = links.parent[at[active]]
         left[active] -= 1
         active = active[left[active] > 0]
-    if not whose:
-        return []
-    owner, source = np.concatenate(whose), np.concatenate(met)
+    owner = np.concatenate(whose) if whose else np.empty(0, "int64")
+    source = np.concatenate(met) if met else np.empty(0, "int64")
     order = np.argsort(owner, kind="stable")
     owner, source = owner[order], source[order]
-    length = np.array([len(s) for s in segs], dtype="int64")
-    flat, start = np.concatenate([np.asarray(s, dtype="int64") for s in segs]), np.append(0, np.cumsum(length))[:-1]
+    start, length = segs.offsets.to_numpy()[:-1].astype("int64"), np.diff(segs.offsets.to_numpy()).astype("int64")
     n = length[source]
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    values = flat[np.repeat(start[source], n) + offset]
-    ends = np.cumsum(np.bincount(owner, weights=n, minlength=len(rows)).astype("int64"))
-    return np.split(values, ends[:-1])
+    values = segs.values.to_numpy(zero_copy_only=False)[np.repeat(start[source] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    sizes = np.zeros(links.end, "int64")
+    sizes[rows] = np.bincount(owner, weights=n, minlength=len(rows)).astype("int64")
+    given = np.zeros(links.end, bool)
+    given[rows] = True
+    offsets = np.append(0, np.cumsum(sizes))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(~given, False)), pa.array(values, pa.int64()))
 
 
-def _solve_bucket(frame: pd.DataFrame, paths: bool, whole: bool) -> pd.DataFrame:
+def _solve_bucket(table: pa.Table, paths: bool, whole: bool) -> pa.Table:
     """Every node's fragment within its bucket. ``whole``: an absent parent does not exist and ends the path."""
-    links = _Links(frame)
+    links = _Links(table)
     n = end = links.end
-    far = np.iinfo("int64").max
     jump, last = links.parent.copy(), np.arange(n + 1)
-    hops = np.append(frame["dist"].to_numpy(dtype="int64"), 0)
-    low = np.append(frame["low"].to_numpy(dtype="int64"), far)
+    hops = np.append(_ints(table, "dist")[0], 0)
+    low = np.append(_ints(table, "low")[0], np.iinfo("int64").max)
     steps = np.append(np.ones(n, "int64"), 0)
     reach = 1
     while reach <= n and (jump[:n] != end).any():
@@ -92,32 +99,26 @@ def _solve_bucket(frame: pd.DataFrame, paths: bool, whole: bool) -> pd.DataFrame
     on[jump[:n][stuck]] = True  # after so many links exactly the nodes of circles are reached, and low covers each circle
     tip = last[:n]
     absent = links.linked[tip]
-    known, cycles = frame["cycle"].notna().to_numpy()[tip], frame["cycle"].fillna(0).to_numpy(dtype="int64")[tip]
-    is_open = absent & ~stuck & (not whole)
-    dist = hops[:n] - (absent & ~stuck & whole)
-    out = frame[_KEY].copy().reset_index(drop=True)
-    out["parent"] = _nullable(frame["parent"].fillna(0).to_numpy(dtype="int64")[tip], is_open)
-    out["dist"] = dist
-    out["top"] = frame["top"].to_numpy(dtype="int64")[tip]
-    out["low"] = low[:n]
-    out["cycle"] = _nullable(np.where(stuck, low[np.where(stuck, jump[:n], end)], cycles), stuck | known)
-    out["on_cycle"] = on
-    out["seg"] = None
-    if paths:
-        free = np.flatnonzero(~stuck & ~known)
-        if len(free):
-            segs = [s if s is not None else () for s in frame["seg"]]
-            made = np.empty(n, dtype=object)
-            for i, piece in zip(free.tolist(), _joined_segments(segs, links, free, steps[free])):
-                made[i] = piece
-            out["seg"] = made
-    return out
-
-
-def _mark_bucket(frame: pd.DataFrame) -> pd.DataFrame:
+    cycles, known = (x[tip] for x in _ints(table, "cycle"))
+    free = np.flatnonzero(~stuck & ~known)
+    segs = table.column("seg").combine_chunks()
+    out = [
+        *[table.column(c) for c in _KEY],
+        _nullable(links.up[tip], absent & ~stuck & (not whole)),
+        pa.array(hops[:n] - (absent & ~stuck & whole), pa.int64()),
+        pa.array(_ints(table, "top")[0][tip], pa.int64()),
+        pa.array(low[:n], pa.int64()),
+        _nullable(np.where(stuck, low[np.where(stuck, jump[:n], end)], cycles), stuck | known),
+        pa.array(on),
+        _joined_segments(segs, links, free, steps[free]) if paths else pa.nulls(n, pa.list_(pa.int64())),
+    ]
+    return pa.table(out, names=[c.split()[0] for c in _LEVEL.split(", ")])
+
+
+def _mark_bucket(table: pa.Table) -> pa.Table:
     """Spread each given circle id (column ``mark``) upward along the local links."""
-    links = _Links(frame)
-    known, ids = frame["mark"].notna().to_numpy().copy(), frame["mark"].fillna(0).to_numpy(dtype="int64").copy()
+    links = _Links(table)
+    ids, known = (x.copy() for x in _ints(table, "mark"))
     front = np.flatnonzero(known)
     while len(front):
         above = links.parent[front]
@@ -125,9 +126,7 @@ def _mark_bucket(frame: pd.DataFrame) -> pd.DataFrame:
         ids[above[new]] = ids[front[new]]
         known[above[new]] = True
         front = np.unique(above[new])
-    kept = frame.loc[known, _KEY].copy()
-    kept["ring"] = ids[known]
-    return kept
+    return table.select(_KEY).append_column("ring", pa.array(ids, pa.int64())).filter(pa.array(known))
 
 
 def _place(level: DataFrame, capacity: int, round_: int) -> tuple[DataFrame, bool]:
@@ -155,18 +154,18 @@ def _place(level: DataFrame, capacity: int, round_: int) -> tuple[DataFrame, boo
 def _solve(level: DataFrame, capacity: int, paths: bool, round_: int) -> DataFrame:
     """The rows of ``level`` with every path followed to its end: parent is null everywhere."""
     placed, whole = _place(level, capacity, round_)
-    fragments = placed.groupBy("bucket").applyInPandas(lambda frame: _solve_bucket(frame, paths, whole), _LEVEL)
+    fragments = placed.groupBy("bucket").applyInArrow(lambda frame: _solve_bucket(frame, paths, whole), _LEVEL)
     if whole:
         return fragments
     placed = materialise(placed, "placed")
-    fragments = materialise(placed.groupBy("bucket").applyInPandas(lambda frame: _solve_bucket(frame, paths, False), _LEVEL), "fragments")
+    fragments = materialise(placed.groupBy("bucket").applyInArrow(lambda frame: _solve_bucket(frame, paths, False), _LEVEL), "fragments")
     exits = fragments.where("parent is not null").select("tree", "grp", F.col("parent").alias("node")).distinct()
     quotient = materialise(fragments.join(exits, _KEY, "left_semi").withColumn("on_cycle", F.lit(False)), "quotient")
     solved = materialise(_solve(quotient, capacity, paths, round_ + 1), "solved")
 
     # circles that only the quotient shows: the fragments between their exits lie on them too
     rings = solved.where("on_cycle").select(*_KEY, F.col("cycle").alias("mark"))
-    on_ring = placed.drop("on_cycle", "cycle", "seg").join(rings, _KEY, "left").groupBy("bucket").applyInPandas(_mark_bucket, "tree string, grp long, node long, ring long")
+    on_ring = placed.drop("on_cycle", "cycle", "seg").join(rings, _KEY, "left").groupBy("bucket").applyInArrow(_mark_bucket, "tree string, grp long, node long, ring long")
     far = solved.select("tree", "grp", F.col("node").alias("parent"), *[F.col(c).alias(f"s_{c}") for c in ("dist", "top", "cycle", "seg")], F.lit(True).alias("there"))
     spread = far.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))  # many fragments may share an exit
     joined = fragments.withColumn("salt", F.pmod(F.hash("node"), F.lit(8))).join(spread, ["tree", "grp", "parent", "salt"], "left").join(on_ring, _KEY, "left")
