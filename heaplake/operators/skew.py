@@ -35,6 +35,21 @@ def key_states(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str]) -> D
     )
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, sample_rows: int = 200_000, seed: int = 7) -> DataFrame | None:
+    """The keys that seem to hold at least ``share`` of all rows, or None; only a hint for where to pre-aggregate.
+
+    Looks at a sample of about ``sample_rows`` rows; at most ``1 / share`` keys can be returned. Nothing may depend on
+    the hint but the work's distribution.
+    """
+    total = df.count()
+    if not total:
+        return None
+    fraction = min(1.0, sample_rows / total)
+    counts = df.sample(fraction, seed).groupBy(*keys).agg(F.count("*").alias("_n"))
+    found = counts.where(F.col("_n") >= max(50.0, share * fraction * total)).drop("_n").collect()
+    return df.sparkSession.createDataFrame(found, df.select(*keys).schema) if found else None
+
+
 def heavy_keys(df: DataFrame, scope: str, key: str, least_share: float) -> DataFrame:
     """Keys with at least ``least_share`` of all rows of their ``scope``, every delivered row counted.
 

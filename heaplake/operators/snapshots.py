@@ -1,8 +1,9 @@
 """What changed between consecutive full snapshots.
 
 Rows are range-partitioned and sorted by (owner, key, snapshot number); one pass over each range then merges all
-snapshots of an owner at once: the row before and the row after, in that order, are the two pointers. A key with many
-rows is only ever streamed, and a range holds part of an owner, so an owner with a third of all rows is split.
+snapshots of an owner at once: the row before and the row after, in that order, are the two pointers. A range holds part
+of an owner, so an owner with a third of all rows is split; a single key with very many rows in a snapshot is reduced to
+the row that counts before rows move.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
+from .skew import hot_keys
 
 #: Binary and string values up to this length travel as they are, longer ones as length and SHA-256.
 _INLINE = 48
@@ -67,6 +69,13 @@ def snapshot_changes(
         F.col(carry).alias("_c"),
         F.struct(*[_comparable(df, c).alias(f"v{i}") for i, c in enumerate(compare)]).alias("_v"),
     )
+    # a key with very many rows in a snapshot is reduced to one where the rows lie, before anything moves
+    hot = hot_keys(rows.select("_o", "_s", "_k"), ["_o", "_s", "_k"])
+    if hot is not None:
+        best = F.min(F.struct(F.col("_pos").isNull().alias("no_pos"), "_pos", "_d", "_v", "_c"))
+        reduced = rows.join(F.broadcast(hot), ["_o", "_s", "_k"]).groupBy("_o", "_s", "_k").agg(best.alias("b"))  # a hundred keys at most
+        rest = rows.join(F.broadcast(hot), ["_o", "_s", "_k"], "left_anti")
+        rows = rest.unionByName(reduced.select("_o", "_s", "_k", "b._pos", "b._d", "b._c", "b._v"))
     numbers = broadcast_if_small(snapshot_numbers(df, owner, snapshot, taken), max_snapshots)
     ranged = rows.join(numbers, ["_o", "_s"]).repartitionByRange("_o", "_k")
     once = Window.partitionBy("_o", "_k", "_n").orderBy(F.col("_pos").asc_nulls_last(), "_d", "_v")
