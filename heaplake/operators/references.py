@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Delivery time of rows that carry none: before everything else.
 _UNDATED = -(1 << 62)
 _LANE_BITS = 3
@@ -124,6 +126,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, period_seconds: int =
         F.expr("shiftright(_same, _i) & 1 = 1").alias("close"),
     )
 
+    # one row per orphan key and period; used three times below, so it is kept instead of being derived again
+    decoded = materialise(decoded, "orphan-keys")
+
     # exact times, only for keys whose parent came in the reference's own period
     close = decoded.where("close").select("scope", "key", "period")
     earliest = r.groupBy("scope", "key", "period").agg(F.min("at").alias("first_ref"))
