@@ -95,8 +95,8 @@ def unsigned_bytes(raw: Column) -> Column:
     return F.conv(F.hex(raw), 16, -10).cast("long")
 
 
-def signed_bytes(raw: Column, bits: int) -> Column:
-    n = unsigned_bytes(raw)
+def signed(n: Column, bits: int) -> Column:
+    """The signed value of an unsigned number of ``bits`` bits."""
     return n if bits == 64 else F.when(n >= 1 << (bits - 1), n - (1 << bits)).otherwise(n)
 
 
@@ -112,13 +112,13 @@ def _float(n: Column, exponent_bits: int, fraction_bits: int) -> Column:
     return sign * F.when(e == 0, small).when(e == top, special).otherwise(normal)
 
 
-def double_bytes(raw: Column) -> Column:
-    """The IEEE 754 double of 8 big-endian bytes, exactly."""
-    return _float(unsigned_bytes(raw), 11, 52)
+def double_bits(n: Column) -> Column:
+    """The IEEE 754 double of 64 bits, exactly."""
+    return _float(n, 11, 52)
 
 
-def float_bytes(raw: Column) -> Column:
-    return _float(unsigned_bytes(raw), 8, 23)
+def float_bits(n: Column) -> Column:
+    return _float(n, 8, 23)
 
 
 def utf8_text(raw: Column) -> Column:

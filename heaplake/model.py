@@ -19,7 +19,12 @@ _ORDER = {
     "utf8_name": "name_id", "load_class": "class_id", "refs": "to_object_id", "dominator": "object_id", "retained": "object_id",
 }
 _PARTITIONED = {"gc_root": "root_type", "array_size": "kind"}
-DERIVED = ("array_size", "refs", "dominator", "retained")
+DERIVED = {
+    "array_size": "kind string, object_id long, position long, byte_size long",
+    "refs": "to_object_id long, from_object_id long, kind string",
+    "dominator": "object_id long, dominator_id long",
+    "retained": "object_id long, retained_bytes long",
+}
 
 
 class Heap:
@@ -44,8 +49,8 @@ class Heap:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Heap:
-        names = [*hprof.TABLES, *DERIVED]
-        tables = {t: spark.read.parquet(f"{folder}/{t}") for t in names if complete(spark, f"{folder}/{t}")}
+        schemas = hprof.TABLES | DERIVED  # given, because a table without rows may have no files
+        tables = {t: spark.read.schema(s).parquet(f"{folder}/{t}") for t, s in schemas.items() if complete(spark, f"{folder}/{t}")}
         return cls(spark, tables, tables["header"].first()["id_size"])
 
     def save(self, folder: str, derived: bool = True) -> dict[str, str]:

@@ -51,6 +51,7 @@ def path_to_root(refs: DataFrame, gc_root: DataFrame, object_id: int, limit: int
 
     if gc_root.where(F.col("object_id") == object_id).limit(1).count():
         return {"status": "Found", "path": [object_id]}
+    refs = materialise(refs.select("to_object_id", "from_object_id"), "edges")  # read once per level
     parent: dict[int, int | None] = {object_id: None}
     level = [object_id]
     while level:

@@ -96,12 +96,15 @@ def class_layout(class_dump: DataFrame, utf8_name: DataFrame, id_size: int = 8)
     )
 
 
-def decode_value(raw: Column, code: Column) -> Column:
-    """The value struct of a field's bytes; integers, floats and ids are decoded without leaving the JVM."""
+def decode_value(n: Column, code: Column) -> Column:
+    """The value struct of a field whose big-endian bytes are the unsigned number ``n``, without leaving the JVM.
+
+    ``n`` should be a column, not an expression: it is used several times.
+    """
     name = F.when(code == dims.OBJECT, "object").otherwise(S.type_name(code))
-    i = F.when(code == 5, S.unsigned_bytes(raw)).when(code == 8, S.signed_bytes(raw, 8)).when(code == 9, S.signed_bytes(raw, 16)).when(code == 10, S.signed_bytes(raw, 32)).when(code == 11, S.signed_bytes(raw, 64))
-    d = F.when(code == 6, S.float_bytes(raw)).when(code == 7, S.double_bytes(raw))
-    return value(name, ref_id=F.when(code == dims.OBJECT, S.unsigned_bytes(raw)), i=i, d=d, z=F.when(code == 4, S.unsigned_bytes(raw) != 0))
+    i = F.when((code == 5) | (code == 11), n).when(code == 8, S.signed(n, 8)).when(code == 9, S.signed(n, 16)).when(code == 10, S.signed(n, 32))
+    d = F.when(code == 6, S.float_bits(n)).when(code == 7, S.double_bits(n))
+    return value(name, ref_id=F.when(code == dims.OBJECT, n), i=i, d=d, z=F.when(code == 4, n != 0))
 
 
 def instance_fields(instance: DataFrame, layout: DataFrame, names: list[str] | None = None, codes: list[int] | None = None) -> DataFrame:
@@ -118,7 +121,8 @@ def instance_fields(instance: DataFrame, layout: DataFrame, names: list[str] | N
     rows = instance.select("object_id", "class_id", "data").join(broadcast_if_small(per_class, SMALL), "class_id").withColumn("_f", F.explode("_fields"))
     raw = F.substring(F.col("data"), F.col("_f.offset").cast("int") + 1, F.col("_f.width").cast("int"))
     whole = F.length("data") >= F.col("_f.offset") + F.col("_f.width")
-    return rows.where(whole).select("object_id", "class_id", F.col("_f.ord").alias("ord"), F.col("_f.name").alias("name"), F.col("_f.type_code").alias("type_code"), decode_value(raw, F.col("_f.type_code")).alias("value"))
+    numbers = rows.where(whole).select("object_id", "class_id", "_f.ord", "_f.name", "_f.type_code", S.unsigned_bytes(raw).alias("_n"))
+    return numbers.select("object_id", "class_id", "ord", "name", "type_code", decode_value(F.col("_n"), F.col("type_code")).alias("value"))
 
 
 def first_field(fields: DataFrame, name: str) -> DataFrame:
@@ -216,7 +220,8 @@ def prim_elements(prim_array: DataFrame, most: int | None = None) -> DataFrame:
     n = n if most is None else F.least(n, F.lit(most))
     rows = prim_array.where(n > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), n - 1)))
     raw = F.substring(F.col("data"), F.col("pos") * w + 1, w)
-    return rows.select("array_id", "element_type", "pos", decode_value(raw, F.col("element_type")).alias("value"))
+    numbers = rows.select("array_id", "element_type", "pos", S.unsigned_bytes(raw).alias("_n"))
+    return numbers.select("array_id", "element_type", "pos", decode_value(F.col("_n"), F.col("element_type")).alias("value"))
 
 
 def resolved_roots(gc_root: DataFrame, types: DataFrame, names: DataFrame) -> DataFrame:

@@ -168,9 +168,9 @@ def test_float_bytes(spark, value):
     import math
 
     raw = spark.createDataFrame([(bytearray(struct.pack(">d", value)), bytearray(struct.pack(">f", value) if abs(value) < 3e38 or math.isinf(value) else bytes(4)))], "d binary, f binary")
-    d, f = raw.select(S.double_bytes(F.col("d")), S.float_bytes(F.col("f"))).first()
+    d, f = raw.select(S.double_bits(S.unsigned_bytes(F.col("d"))), S.float_bits(S.unsigned_bytes(F.col("f")))).first()
     assert d == value and (abs(value) >= 3e38 and not math.isinf(value) or f == struct.unpack(">f", struct.pack(">f", value))[0])
-    assert math.isnan(spark.createDataFrame([(bytearray(struct.pack(">d", math.nan)),)], "d binary").select(S.double_bytes(F.col("d"))).first()[0])
+    assert math.isnan(spark.createDataFrame([(bytearray(struct.pack(">d", math.nan)),)], "d binary").select(S.double_bits(S.unsigned_bytes(F.col("d")))).first()[0])
 
 
 def two_dumps(spark):
