@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,9 @@ from .mixing import source_name
 #: Transfer blocks: ends at equal places of blocks this large are counted together.
 BLOCK_BYTES = 4096
 #: At most so many notebooks (chosen by hash) teach the model of endings.
-SAMPLE_DOCS = 5_000
+SAMPLE_DOCS = 8_000
+#: At a limit at least this share is taken to end there of its own accord: authors fit texts to the limits they know.
+OWN_SHARE = 0.02
 _PLACES = 24
 _CONTEXT = 240
 _BITS = 18
@@ -83,7 +86,8 @@ def significant_lengths(tests: DataFrame, rate: float = 0.001) -> DataFrame:
     holds = ranked.withColumn("holds", F.col("log_p") <= F.log(F.lit(rate) * F.col("rank") / F.lit(float(max(1, total)))))
     last = F.max(F.when(F.col("holds"), F.col("rank"))).over(Window.partitionBy(F.lit(0)))
     kept = holds.withColumn("last", last).where("rank <= last")
-    odds = F.log((F.col("docs") - F.col("expected")) / F.greatest("expected", F.lit(0.05)))
+    own = F.greatest(F.col("expected"), OWN_SHARE * F.col("docs"))
+    odds = F.log((F.col("docs") - own) / own)
     return kept.select("source", "unit", "length", "docs", "expected", "log_p", odds.alias("log_odds"))
 
 
@@ -158,35 +162,42 @@ def _sampled(docs: DataFrame, most: int) -> DataFrame:
     return parsed.where((F.pmod(F.xxhash64("doc_id", F.lit("endings")), F.lit(1 << 20)) < int(share * (1 << 20)))).limit(2 * most)
 
 
-def fit_endings(docs: DataFrame, most: int = SAMPLE_DOCS, seed: int = 1) -> tuple[np.ndarray, list[float]]:
-    """Weights of the ending model and the log ratios for 0, 1 and 2 trailing line ends, from ``most`` notebooks."""
-    packed = _sampled(docs.select("doc_id", "text", "cells"), most).mapInPandas(_lessons, "label binary, breaks binary, marks binary").toArrow()
-    label, breaks, marks = (np.concatenate([np.frombuffer(b.as_buffer(), dtype=t) for b in packed.column(c)] or [np.empty(0, t)]) for c, t in (("label", "int8"), ("breaks", "int8"), ("marks", "int32")))
-    marks = marks.reshape(-1, _WIDTH)
-    del packed
-    weights = np.zeros((1 << _BITS) + 1, dtype="float32")
-    ratio = [0.0, 0.0, 0.0]
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of the ending model and the log ratios for 0, 1 and 2 trailing line ends, from all lessons."""
+    held = list(batches)
+
+    def column(i: int, dtype: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(v.as_buffer(), dtype=dtype) for b in held for v in b.column(i)] or [np.empty(0, dtype)])
+
+    label, breaks, marks = column(0, "int8"), column(1, "int8"), column(2, "int32").reshape(-1, _WIDTH)
+    weights, ratio = np.zeros((1 << _BITS) + 1, dtype="float32"), np.zeros(3)
     counts = np.bincount(label, minlength=3)
-    if not counts[0] or not counts[1]:
-        return weights, ratio
-    taught = np.flatnonzero(label < 2)
-    rng, square = np.random.default_rng(seed), np.full(len(weights), 1e-2, dtype="float32")
-    for _ in range(5):
-        order = rng.permutation(taught)
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
-            idx = marks[rows]
-            p = 1 / (1 + np.exp(-(weights[idx].sum(axis=1) + weights[-1])))
-            g = (p - label[rows]) / 16
-            flat = idx.ravel()
-            step = np.repeat(g, idx.shape[1])
-            np.add.at(square, flat, step * step)
-            np.add.at(weights, flat, -0.06 * step / np.sqrt(square[flat]))
-            weights[-1] -= 0.05 * g.mean()
-    weights[-1] -= math.log(counts[1] / counts[0])
-    cut = np.bincount(breaks[label == 1], minlength=3) + 1.0
-    own = np.bincount(breaks[label == 2], minlength=3) + 1.0
-    return weights, np.log((cut / cut.sum()) / (own / own.sum())).tolist()
+    if counts[0] and counts[1]:
+        taught = np.flatnonzero(label < 2)
+        rng, square = np.random.default_rng(1), np.full(len(weights), 1e-2, dtype="float32")
+        for _ in range(5):
+            order = rng.permutation(taught)
+            for at in range(0, len(order), 256):
+                rows = order[at : at + 256]
+                idx = marks[rows]
+                p = 1 / (1 + np.exp(-(weights[idx].sum(axis=1) + weights[-1])))
+                g = (p - label[rows]) / 16
+                flat, step = idx.ravel(), np.repeat(g, _WIDTH)
+                np.add.at(square, flat, step * step)
+                np.add.at(weights, flat, -0.06 * step / np.sqrt(square[flat]))
+                weights[-1] -= 0.05 * g.mean()
+        weights[-1] -= math.log(counts[1] / counts[0])
+        cut = np.bincount(breaks[label == 1], minlength=3) + 1.0
+        own = np.bincount(breaks[label == 2], minlength=3) + 1.0
+        ratio = np.log((cut / cut.sum()) / (own / own.sum()))
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([ratio.tolist()], pa.list_(pa.float64()))], names=["weights", "breaks"])
+
+
+def fit_endings(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[np.ndarray, list[float]]:
+    """The ending model, fitted in one task on the lessons of about ``most`` notebooks; only its weights come to the driver."""
+    lessons = _sampled(docs.select("doc_id", "text", "cells"), most).mapInPandas(_lessons, "label binary, breaks binary, marks binary")
+    model = lessons.orderBy("label", "marks").coalesce(1).mapInArrow(_fit, "weights binary, breaks array<double>").first()
+    return np.frombuffer(model["weights"], dtype="float32"), model["breaks"]
 
 
 def _scores(weights: np.ndarray, breaks: list[float]):
