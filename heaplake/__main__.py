@@ -10,12 +10,14 @@ from pyspark.sql import SparkSession
 
 from .facade import Analysis
 from .model import Heap, diff_folder, index_folder
+from .session import ship
 
 
 def session() -> SparkSession:
     """The session that spark-submit gives, or a local one."""
     spark = SparkSession.builder.appName("heaplake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,28 @@ def local_session(app: str = "heaplake", cores: int | str = "*", partitions: int
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of the session, once, so that nothing has to be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="heaplake-code-")
+    archive = os.path.join(folder, "heaplake_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for where, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(where, f)
+                    z.write(path, os.path.join("heaplake", os.path.relpath(path, root)))
+    context.addPyFile(archive)  # the driver serves it to the executors
+    atexit.register(shutil.rmtree, folder, True)
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
