@@ -197,6 +197,8 @@ def fit_endings(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[np.ndarray, l
     """The ending model, fitted in one task on the lessons of about ``most`` notebooks; only its weights come to the driver."""
     lessons = _sampled(docs.select("doc_id", "text", "cells"), most).mapInPandas(_lessons, "label binary, breaks binary, marks binary")
     model = lessons.orderBy("label", "marks").coalesce(1).mapInArrow(_fit, "weights binary, breaks array<double>").first()
+    if model is None:  # no notebook to learn from
+        return np.zeros((1 << _BITS) + 1, dtype="float32"), [0.0, 0.0, 0.0]
     return np.frombuffer(model["weights"], dtype="float32"), model["breaks"]
 
 
