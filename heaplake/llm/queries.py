@@ -32,7 +32,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 def p4_daily(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per measure, group and day."""
-    return _shown(quantiles.percentiles(_daily(spark, d), _FRACTIONS)).drop("rank_error")
+    return _shown(quantiles.percentiles(_daily(spark, d), _FRACTIONS))
 
 
 def p4_union(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +100,7 @@ with v as (select 'array_size.byte_size' measure, any_value(kind) group_key, any
 _COLUMNS = "count(x) n, min(x) min_value, max(x) max_value, " + ", ".join(f"quantile_disc(x, {q}) {c}" for c, q in _FRACTIONS.items())
 
 SQL = {
-    "p4_daily": _P4 + f"select measure, group_key, cast(ts at time zone 'UTC' as date) \"day\", {_COLUMNS} from v group by 1, 2, 3",
+    "p4_daily": _P4 + f"select measure, group_key, cast(ts at time zone 'UTC' as date) \"day\", {_COLUMNS}, 0::bigint rank_error from v group by 1, 2, 3",
     "p4_union": _P4 + f"select measure, group_key, {_COLUMNS}, 0::bigint rank_error from v group by 1, 2",
     "p6_decoded": "select doc_id, md5(coalesce(text, '')) digest, length(coalesce(text, '')) chars from documents",
 }
