@@ -19,6 +19,9 @@ from ..session import materialise
 from . import graph
 from . import hierarchy as trees
 
+#: Objects and references that one task may hold: some 300 MB of arrays and lists.
+CAPACITY = 5_000_000
+
 
 def solve_dominators(nodes: np.ndarray, source: np.ndarray, target: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Reachable ids and their immediate dominators (0: the virtual root).
@@ -116,7 +119,7 @@ def _distributed(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFr
             return paths.select("object_id", F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(0).alias("dominator_id"))
 
 
-def dominators(nodes: DataFrame, refs: DataFrame, gc_root: DataFrame, capacity: int = 20_000_000) -> DataFrame:
+def dominators(nodes: DataFrame, refs: DataFrame, gc_root: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """object_id and dominator_id of every object that the roots reach; 0 for roots and for what several roots share.
 
     ``nodes``: object_id (repeats allowed). References from or to objects that aren't there are left out. With more than
@@ -134,13 +137,45 @@ def dominators(nodes: DataFrame, refs: DataFrame, gc_root: DataFrame, capacity:
     return _distributed(rows.where("kind = 'node'"), rows.where("kind = 'edge'").select("a", "b"), rows.where("kind = 'root'").select("a"))
 
 
-def retained_sizes(idom: DataFrame, shallow: DataFrame) -> DataFrame:
-    """object_id and retained_bytes: the shallow bytes of everything that an object dominates, itself included."""
-    rows = idom.withColumns({"_g": F.lit(0), "_d": F.lit(None).cast("timestamp")})
-    solved = trees.hierarchy(trees.links(rows, "dominators", "_g", "object_id", "dominator_id", "_d"), paths=True)
+def sum_subtrees(parent: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each node's weight and those of all nodes below it. ``parent``: places, -1 at roots. Nodes on circles keep their own."""
+    total, waiting = weight.astype("int64"), np.bincount(parent[parent >= 0], minlength=len(parent))
+    ready = np.flatnonzero(waiting == 0)
+    while len(ready):
+        above = parent[ready]
+        ready, above = ready[above >= 0], above[above >= 0]
+        np.add.at(total, above, total[ready])
+        np.subtract.at(waiting, above, 1)
+        above = np.unique(above)
+        ready = above[waiting[above] == 0]
+    return total
+
+
+def retained_sizes(idom: DataFrame, shallow: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """object_id and retained_bytes: the shallow bytes of everything that an object dominates, itself included.
+
+    One task adds up trees of up to ``capacity`` objects, whatever their depth; larger ones are added along their paths.
+    """
     sizes = shallow.groupBy("object_id").agg(F.min("shallow").alias("shallow"))
-    owned = solved.select("node", F.explode("path").alias("object_id")).join(sizes.withColumnRenamed("object_id", "node"), "node", "left")
-    return owned.groupBy("object_id").agg(F.coalesce(F.sum("shallow"), F.lit(0).cast("long")).alias("retained_bytes"))
+    rows = materialise(idom.select("object_id", "dominator_id").join(sizes, "object_id", "left").withColumn("shallow", F.coalesce("shallow", F.lit(0))), "owned")
+    if rows.count() <= capacity:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = list(batches)
+            if not held:
+                return
+            t = pa.Table.from_batches(held)
+            ids, up, size = (t.column(i).to_numpy() for i in range(3))
+            order = np.argsort(ids)
+            at = np.minimum(np.searchsorted(ids[order], up), len(ids) - 1)
+            parent = np.where((up != 0) & (ids[order][at] == up), order[at], -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sum_subtrees(parent, size), pa.int64())], names=["object_id", "retained_bytes"])
+
+        return rows.coalesce(1).mapInArrow(run, "object_id long, retained_bytes long")
+    linked = rows.withColumns({"_g": F.lit(0), "_d": F.lit(None).cast("timestamp")})
+    solved = trees.hierarchy(trees.links(linked, "dominators", "_g", "object_id", "dominator_id", "_d"), paths=True)
+    owned = solved.select("node", F.explode("path").alias("object_id")).join(rows.select(F.col("object_id").alias("node"), "shallow"), "node")
+    return owned.groupBy("object_id").agg(F.sum("shallow").alias("retained_bytes"))
 
 
 def dominatees(idom: DataFrame, retained: DataFrame, object_id: int) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import dominators as dom
 from ..operators import dumpdiff, graph, resolve, stats, threads
-from ..session import table
+from ..session import forget_at_exit, shared_dir, table
+from ..sources.export import export_hprof
 from . import relational_heap as R
 
 K = R.K
@@ -128,7 +131,7 @@ def java_strings(spark, d):
 
 
 def find_strings(spark, d):
-    return resolve.find_strings(_heap(spark, d).strings, "1")
+    return resolve.find_strings(_heap(spark, d).strings, "r")
 
 
 def wrapper_values(spark, d):
@@ -345,7 +348,41 @@ def size_texts(spark, d):
     return sizes.select("object_id", S.hex_id(F.col("object_id")).alias("hex_id"), S.parse_hex_id(S.hex_id(F.col("object_id"))).alias("back"), S.size_text(F.col("byte_size") * 1000 + 1, False).alias("shown"))
 
 
+# --- the whole way: tables to dump files, dump files through the data source --------------------------------------
+
+
+def _decoded(spark: SparkSession, d: str) -> R.Heap:
+    folder = f"{shared_dir(spark).rstrip('/')}/heaplake-dump-{uuid.uuid4().hex}"
+    export_hprof(R.shop_heap(spark, d), folder)
+    forget_at_exit(spark, folder)
+    return R.Heap.read(spark, folder)
+
+
+def hprof_class_histogram(spark, d):
+    h = _decoded(spark, d)
+    return stats.class_histogram(h.shallow, h.names)
+
+
+def hprof_instance_fields(spark, d):
+    rows = _decoded(spark, d).fields
+    return rows.select("object_id", F.col("ord").cast("long").alias("ord"), "name", F.col("value.ref_id").alias("ref_id"), F.col("value.i").alias("i"), F.col("value.d").alias("d"))
+
+
+def hprof_java_strings(spark, d):
+    return _decoded(spark, d).strings
+
+
+def hprof_references(spark, d):
+    return _decoded(spark, d).refs
+
+
+def hprof_resolved_roots(spark, d):
+    h = _decoded(spark, d)
+    return resolve.resolved_roots(h["gc_root"], h.types, h.names).select("root_type", "object_id", "resolved_name")
+
+
 _FUNCTIONS = (
+    hprof_class_histogram, hprof_instance_fields, hprof_java_strings, hprof_references, hprof_resolved_roots,
     class_histogram, class_histogram_legacy, class_histogram_top, histogram_totals, instances_by_name, all_classes, instances_keys, find_class_substring, find_class_exact, class_by_name, find_object,
     instances_of_class_page, instances_of_subclasses, objects_ordered, object_type_name, shallow_sizes, heap_summary, class_layout, class_closure, instance_fields, resolved_instances, java_strings, find_strings,
     wrapper_values, static_fields, declared_fields, obj_array_elements, prim_array_decode, resolved_roots, array_sizes, largest_arrays, top5_per_kind, obj_arrays_by_length, array_counts,
@@ -480,7 +517,7 @@ with li as ({_LINE}),
      b(id, tag, key, size, pay) as (
        select {4 * K}::bigint + k, 33, {_C + 4}::bigint, 24, '' from o2 union all select id, 33, {_C + 5}, 32, (l_quantity + case when l_partkey % 10 = 0 then 1 else 0 end)::varchar from li join o2 on k = l_orderkey
        union all select {19 * K}::bigint + k, 34, (-9223372036854775808)::bigint + {_C + 5}, (select count(*) from li where l_orderkey = k), '' from o2
-       union all select {21 * K}::bigint + vec_id, 35, (-4611686018427387904)::bigint + 6, 64, '' from embeddings union all select id, 32, id, 0, '' from cls),
+       union all select {21 * K}::bigint + vec_id, 35, (-4611686018427387904)::bigint + 6, case when vec_id % 9 = 0 then 32 else 64 end, case when vec_id % 9 = 0 then 'short' else '' end from embeddings union all select id, 32, id, 0, '' from cls),
      e as (select coalesce(a.id, b.id) object_id, case when b.id is null then 'removed' when a.id is null then 'added' else 'common' end entry,
                   case when a.id is not null and b.id is not null then a.tag <> b.tag or a.pay <> b.pay end changed, coalesce(a.tag, b.tag) tag, coalesce(a.key, b.key) class_key, a.size is distinct from b.size and a.id is not null and b.id is not null reused
              from a full join b on b.id = a.id),
@@ -524,7 +561,7 @@ SQL = {
     "instance_fields": f"with li as ({_LINE}) " + _FIELDS,
     "resolved_instances": f"select {7 * K}::bigint + s_suppkey object_id, 'shop.Supplier' class_name, 'suppkey,acctbal' field_names, s_suppkey::double suppkey, s_acctbal acctbal from supplier",
     "java_strings": f"select {8 * K}::bigint + p_partkey object_id, p_name \"text\" from part",
-    "find_strings": f"select {8 * K}::bigint + p_partkey object_id, p_name \"text\" from part where p_name like '%1%'",
+    "find_strings": f"select {8 * K}::bigint + p_partkey object_id, p_name \"text\" from part where p_name like '%r%'",
     "wrapper_values": f"select {9 * K}::bigint + p_partkey object_id, 'int' kind, p_size::bigint i, null::double d from part union all select {10 * K}::bigint + s_suppkey, 'double', null, s_acctbal from supplier",
     "static_fields": _values([(_C + o, n, v if c == 2 else None, None if c == 2 else v) for o, (_, _, _, statics) in R.CLASSES.items() for n, c, v in statics], 'class_id, "name", ref_id, i'),
     "declared_fields": _values([(t, sum(1 for _, _, f, _ in R.CLASSES.values() for _, c in f if c == k)) for k, t in ((2, "Object"), (7, "double"), (8, "byte"), (10, "int"), (11, "long"))], "type_name, fields"),
@@ -576,3 +613,4 @@ SQL = {
     + """select id object_id, '0x' || lower(to_hex(id)) hex_id, id back, case when 8000 * n + 1 >= 1000000000 then printf('%.1fG', (8000 * n + 1) / 1e9) when 8000 * n + 1 >= 1000000 then printf('%.1fM', (8000 * n + 1) / 1e6)
        when 8000 * n + 1 >= 1000 then printf('%.1fK', (8000 * n + 1) / 1e3) else (8000 * n + 1) || 'B' end shown from oarr""",
 }
+SQL |= {f"hprof_{n}": SQL[n] for n in ("class_histogram", "instance_fields", "java_strings", "references", "resolved_roots")}

@@ -79,12 +79,17 @@ def _delete(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path, True)
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder under the shared one when the process ends."""
+    atexit.register(_delete, spark, path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/heaplake-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -47,19 +47,27 @@ _RECORD_OF = {"utf8_name": 0x01, "load_class": 0x02, "unload_class": 0x03, "fram
 
 
 def _open(path: str):
-    if "://" in path:
+    if "://" in path or path.startswith("file:"):
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(path)
         return system.open_input_file(inner)
-    return open(path.removeprefix("file:"), "rb")
+    return open(path, "rb")
 
 
 def _files(path: str) -> list[str]:
     """The dump files of a path: one file, a folder of them or a list separated by commas."""
+    from pyarrow import fs
+
     out = []
     for p in path.split(","):
-        out += sorted(os.path.join(p, f) for f in os.listdir(p) if f.endswith(".hprof")) if os.path.isdir(p) else [p]
+        remote = "://" in p or p.startswith("file:")
+        system, inner = fs.FileSystem.from_uri(p) if remote else (fs.LocalFileSystem(), p)
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            out.append(p)
+            continue
+        names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if f.base_name.endswith(".hprof"))
+        out += [f"{p.rstrip('/')}/{n}" for n in names]
     return out
 
 

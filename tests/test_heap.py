@@ -106,6 +106,7 @@ def test_chain_retained(spark):
     w = Writer().utf8(1, "next").utf8(2, "A").load_class(1, 0x10, 0, 2).class_dump(0x10, 0, 8, fields=[(1, 2)]).root("jni_global", 1, 0)
     h = Heap.from_bytes(spark, w.instance(1, 0x10, w.id(2) + b"12").instance(2, 0x10, w.id(3) + bytes(12)).instance(3, 0x10, w.id(0) + bytes(22)).bytes())
     assert dict(rows(h.retained)) == {1: 60, 2: 50, 3: 30}
+    assert dict(rows(dom.retained_sizes(h.dominator, h.shallow, capacity=0))) == {1: 60, 2: 50, 3: 30}
 
 
 def test_paths(spark):
