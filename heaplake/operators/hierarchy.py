@@ -21,7 +21,8 @@ from ..session import materialise
 
 #: ``dist``: links from node to parent, or, where parent is null, to ``top``, the last node of the path; ``low``: the
 #: smallest id before parent; ``seg``: the ids before parent; ``cycle``: the circle that the path is known to run into.
-_LEVEL = "tree string, grp long, node long, parent long, dist long, top long, low long, cycle long, on_cycle boolean, seg array<long>"
+_LEVEL = "tree string, grp long, node long, parent long, dist long, top long, low long, cycle long, on_cycle boolean"
+_LEVEL_WITH_PATHS = _LEVEL + ", seg array<long>"
 _KEY = ["tree", "grp", "node"]
 
 
@@ -101,7 +102,6 @@ def _solve_bucket(table: pa.Table, paths: bool, whole: bool) -> pa.Table:
     absent = links.linked[tip]
     cycles, known = (x[tip] for x in _ints(table, "cycle"))
     free = np.flatnonzero(~stuck & ~known)
-    segs = table.column("seg").combine_chunks()
     out = [
         *[table.column(c) for c in _KEY],
         _nullable(links.up[tip], absent & ~stuck & (not whole)),
@@ -110,9 +110,10 @@ def _solve_bucket(table: pa.Table, paths: bool, whole: bool) -> pa.Table:
         pa.array(low[:n], pa.int64()),
         _nullable(np.where(stuck, low[np.where(stuck, jump[:n], end)], cycles), stuck | known),
         pa.array(on),
-        _joined_segments(segs, links, free, steps[free]) if paths else pa.nulls(n, pa.list_(pa.int64())),
     ]
-    return pa.table(out, names=[c.split()[0] for c in _LEVEL.split(", ")])
+    if paths:
+        out.append(_joined_segments(table.column("seg").combine_chunks(), links, free, steps[free]))
+    return pa.table(out, names=[c.split()[0] for c in (_LEVEL_WITH_PATHS if paths else _LEVEL).split(", ")])
 
 
 def _mark_bucket(table: pa.Table) -> pa.Table:
@@ -154,19 +155,20 @@ def _place(level: DataFrame, capacity: int, round_: int) -> tuple[DataFrame, boo
 def _solve(level: DataFrame, capacity: int, paths: bool, round_: int) -> DataFrame:
     """The rows of ``level`` with every path followed to its end: parent is null everywhere."""
     placed, whole = _place(level, capacity, round_)
-    fragments = placed.groupBy("bucket").applyInArrow(lambda frame: _solve_bucket(frame, paths, whole), _LEVEL)
+    if not whole:
+        placed = materialise(placed, "placed")
+    fragments = placed.groupBy("bucket").applyInArrow(lambda frame: _solve_bucket(frame, paths, whole), _LEVEL_WITH_PATHS if paths else _LEVEL)
     if whole:
         return fragments
-    placed = materialise(placed, "placed")
-    fragments = materialise(placed.groupBy("bucket").applyInArrow(lambda frame: _solve_bucket(frame, paths, False), _LEVEL), "fragments")
+    fragments = materialise(fragments, "fragments")
     exits = fragments.where("parent is not null").select("tree", "grp", F.col("parent").alias("node")).distinct()
     quotient = materialise(fragments.join(exits, _KEY, "left_semi").withColumn("on_cycle", F.lit(False)), "quotient")
     solved = materialise(_solve(quotient, capacity, paths, round_ + 1), "solved")
 
     # circles that only the quotient shows: the fragments between their exits lie on them too
     rings = solved.where("on_cycle").select(*_KEY, F.col("cycle").alias("mark"))
-    on_ring = placed.drop("on_cycle", "cycle", "seg").join(rings, _KEY, "left").groupBy("bucket").applyInArrow(_mark_bucket, "tree string, grp long, node long, ring long")
-    far = solved.select("tree", "grp", F.col("node").alias("parent"), *[F.col(c).alias(f"s_{c}") for c in ("dist", "top", "cycle", "seg")], F.lit(True).alias("there"))
+    on_ring = placed.select(*_KEY, "parent", "bucket").join(rings, _KEY, "left").groupBy("bucket").applyInArrow(_mark_bucket, "tree string, grp long, node long, ring long")
+    far = solved.select("tree", "grp", F.col("node").alias("parent"), *[F.col(c).alias(f"s_{c}") for c in ("dist", "top", "cycle", *(["seg"] if paths else []))], F.lit(True).alias("there"))
     spread = far.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))  # many fragments may share an exit
     joined = fragments.withColumn("salt", F.pmod(F.hash("node"), F.lit(8))).join(spread, ["tree", "grp", "parent", "salt"], "left").join(on_ring, _KEY, "left")
     there, open_ = F.col("there").isNotNull(), F.col("parent").isNotNull()
@@ -179,7 +181,7 @@ def _solve(level: DataFrame, capacity: int, paths: bool, round_: int) -> DataFra
         "low",
         cycle.alias("cycle"),
         (F.col("on_cycle") | F.col("ring").isNotNull()).alias("on_cycle"),
-        F.when(cycle.isNull(), F.when(there, F.concat("seg", "s_seg")).otherwise(F.col("seg"))).alias("seg"),
+        *([F.when(cycle.isNull(), F.when(there, F.concat("seg", "s_seg")).otherwise(F.col("seg"))).alias("seg")] if paths else []),
     )
 
 
@@ -213,13 +215,13 @@ def hierarchy(rows: DataFrame, capacity: int = 500_000, paths: bool = False) ->
         F.col("node").alias("low"),
         F.lit(None).cast("long").alias("cycle"),
         F.lit(False).alias("on_cycle"),
-        (F.array("node") if paths else F.lit(None).cast("array<long>")).alias("seg"),
+        *([F.array("node").alias("seg")] if paths else []),
     )
     solved = _solve(level, capacity, paths, 0)
     free = F.col("cycle").isNull()
     return solved.select(
         *_KEY, F.when(free, F.col("top")).alias("root"), F.when(free, F.col("dist")).alias("depth"),
-        F.when(free, F.col("seg")).alias("path"), F.col("cycle").alias("cycle_id"), "on_cycle",
+        F.when(free, F.col("seg") if paths else F.lit(None).cast("array<long>")).alias("path"), F.col("cycle").alias("cycle_id"), "on_cycle",
     )
 
 
