@@ -193,7 +193,7 @@ def links(df: DataFrame, tree: str, group: str, node: str, parent: str, delivere
     )
 
 
-def hierarchy(rows: DataFrame, capacity: int = 500_000, paths: bool = False) -> DataFrame:
+def hierarchy(rows: DataFrame, capacity: int = 1_500_000, paths: bool = False) -> DataFrame:
     """Every node of every tree with its root, depth, path and, where its path runs into a circle, that circle's id.
 
     ``rows`` comes from :func:`links` (several tables may be united). Returns tree, grp, node, root, depth, path (from the

@@ -79,9 +79,23 @@ def _delete(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path, True)
 
 
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def discard() -> None:
+    """Remove all intermediate tables written so far; results that still read them must be written before.
+
+    Runs when the process ends; a session that runs for long calls it between its jobs.
+    """
+    while _kept:
+        _delete(*_kept.pop())
+
+
 def forget_at_exit(spark: SparkSession, path: str) -> None:
-    """Remove a folder under the shared one when the process ends."""
-    atexit.register(_delete, spark, path)
+    """Remove a folder under the shared one when the process ends, or with :func:`discard`."""
+    if not _kept:
+        atexit.register(discard)
+    _kept.append((spark, path))
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
