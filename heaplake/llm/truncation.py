@@ -177,11 +177,11 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng, square = np.random.default_rng(1), np.full(len(weights), 1e-2, dtype="float32")
         for _ in range(5):
             order = rng.permutation(taught)
-            for at in range(0, len(order), 256):
-                rows = order[at : at + 256]
+            for at in range(0, len(order), 512):
+                rows = order[at : at + 512]
                 idx = marks[rows]
                 p = 1 / (1 + np.exp(-(weights[idx].sum(axis=1) + weights[-1])))
-                g = (p - label[rows]) / 16
+                g = (p - label[rows]) / 20
                 flat, step = idx.ravel(), np.repeat(g, _WIDTH)
                 np.add.at(square, flat, step * step)
                 np.add.at(weights, flat, -0.06 * step / np.sqrt(square[flat]))
@@ -195,7 +195,10 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_endings(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[np.ndarray, list[float]]:
     """The ending model, fitted in one task on the lessons of about ``most`` notebooks; only its weights come to the driver."""
-    lessons = _sampled(docs.select("doc_id", "text", "cells"), most).mapInPandas(_lessons, "label binary, breaks binary, marks binary")
+    sample = _sampled(docs.select("doc_id", "text", "cells"), most)
+    # few files hold the sample; its texts are spread, and ordered so that the fit is the same each time
+    spread = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id").sortWithinPartitions("doc_id")
+    lessons = spread.mapInPandas(_lessons, "label binary, breaks binary, marks binary")
     model = lessons.orderBy("label", "marks").coalesce(1).mapInArrow(_fit, "weights binary, breaks array<double>").first()
     if model is None:  # no notebook to learn from
         return np.zeros((1 << _BITS) + 1, dtype="float32"), [0.0, 0.0, 0.0]
