@@ -199,7 +199,7 @@ def fit_endings(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[np.ndarray, l
     # few files hold the sample; its texts are spread, and ordered so that the fit is the same each time
     spread = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id").sortWithinPartitions("doc_id")
     lessons = spread.mapInPandas(_lessons, "label binary, breaks binary, marks binary")
-    model = lessons.orderBy("label", "marks").coalesce(1).mapInArrow(_fit, "weights binary, breaks array<double>").first()
+    model = lessons.repartition(1).sortWithinPartitions("label", "marks").mapInArrow(_fit, "weights binary, breaks array<double>").first()
     if model is None:  # no notebook to learn from
         return np.zeros((1 << _BITS) + 1, dtype="float32"), [0.0, 0.0, 0.0]
     return np.frombuffer(model["weights"], dtype="float32"), model["breaks"]
@@ -233,6 +233,14 @@ def _scores(weights: np.ndarray, breaks: list[float]):
 # --- both ----------------------------------------------------------------------------------------------------------
 
 
+def _prior(bins: pd.DataFrame) -> pd.DataFrame:
+    """The log odds of a source's texts to be cut at no particular length, from the histogram of their scores."""
+    share, ratio, n = 0.01, np.exp(bins["score"].to_numpy()), bins["n"].to_numpy()
+    for _ in range(30):
+        share = min(0.2, max(1e-4, float((n * share * ratio / (share * ratio + 1 - share)).sum() / n.sum())))
+    return pd.DataFrame({"source": bins["source"].iloc[:1], "prior": [math.log(share / (1 - share))]})
+
+
 def text_lengths(docs: DataFrame) -> DataFrame:
     """source, unit, length of every text that isn't blank, for :func:`length_tests`."""
     t = docs.where("text rlike '(?U)\\\\S'").select(source_name(F.coalesce("source", F.lit(""))).alias("source"), F.length("text").alias("c"), F.octet_length("text").alias("b"))
@@ -287,16 +295,10 @@ def truncated(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, rate: float =
     joined = scored.join(at_limit, "row", "left")
 
     # the share of texts cut at no particular length, per source: a few rounds of expectation on a histogram of scores
-    bins = joined.where("limit is null").groupBy("source", F.round(F.greatest(F.least("plain", F.lit(30.0)), F.lit(-30.0)), 1).alias("score")).count().toPandas()  # sources x 600 at most
-    shares = []
-    for source, mine in bins.groupby("source"):
-        share, ratio, n = 0.01, np.exp(mine["score"].to_numpy()), mine["count"].to_numpy()
-        for _ in range(30):
-            share = min(0.2, max(1e-4, float((n * share * ratio / (share * ratio + 1 - share)).sum() / n.sum())))
-        shares.append((source, math.log(share / (1 - share))))
-    priors = docs.sparkSession.createDataFrame(shares or [("", -4.6)], "source string, prior double")
+    bins = joined.where("limit is null").groupBy("source", F.round(F.greatest(F.least("plain", F.lit(30.0)), F.lit(-30.0)), 1).alias("score")).agg(F.count("*").alias("n"))
+    priors = bins.groupBy("source").applyInPandas(_prior, "source string, prior double")  # 600 rows a source at most
     odds = F.when(F.col("limit").isNotNull(), F.col("limit.log_odds") + F.col("bare")).otherwise(F.coalesce("prior", F.lit(-4.6)) + F.col("plain"))
-    rated = joined.join(broadcast_if_small(priors, 100_000), "source", "left").withColumn("log_odds", odds)
+    rated = joined.join(broadcast_if_small(materialise(priors, "priors"), 100_000), "source", "left").withColumn("log_odds", odds)
     copies = rated.groupBy("same").agg(F.count("*").alias("n"), F.max("log_odds").alias("best")).where("n > 1")
     out = rated.join(copies.select("same", "best"), "same", "left").withColumn("log_odds", F.coalesce("best", "log_odds"))
     return out.select(

@@ -75,17 +75,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode(ranks: bytes, counts_only: bool):
-    """Ids (or their number) of each word. A word's rows are all in one partition, so it is encoded once."""
+    """Ids (or their number) of each word. All rows of a word come one after the other, so it is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoder(ranks).encode_ordinary, {}
+        encode, last, its_ids = encoder(ranks).encode_ordinary, None, None
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
-            pieces = []
-            for word in coded.dictionary.to_pylist():
-                if word not in known:
-                    known[word] = np.array(encode(word), dtype="int32")
-                pieces.append(known[word])
+            words = coded.dictionary.to_pylist()
+            pieces = [its_ids if word == last else np.array(encode(word), dtype="int32") for word in words]
+            if words:
+                last, its_ids = words[-1], pieces[-1]
             at = coded.indices.to_numpy(zero_copy_only=False)
             length = np.array([len(p) for p in pieces], dtype="int64")
             if counts_only:
@@ -148,7 +147,7 @@ def encode_texts(df: DataFrame, key: str, text: str, *, ranks: bytes | None = No
     words = F.regexp_extract_all(F.col(text), F.lit(f"(?U){WORD_PATTERN}"), F.lit(0))
     split = df.select(F.col(key).cast("long").alias("_key"), words.alias("_words"))
     blocks = materialise(split.mapInArrow(_blocks, _BLOCK), "blocks")
-    vocabulary = blocks.select("block", F.posexplode("words").alias("code", "word")).repartition("word")
+    vocabulary = blocks.select("block", F.posexplode("words").alias("code", "word")).repartition("word").sortWithinPartitions("word")
     kind = "int" if counts_only else "array<int>"
     encoded = vocabulary.mapInArrow(_encode(ranks, counts_only), f"block long, code int, ids {kind}")
     out = "long" if counts_only else "array<int>"
