@@ -30,7 +30,7 @@ from .mixing import source_name
 #: Transfer blocks: ends at equal places of blocks this large are counted together.
 BLOCK_BYTES = 4096
 #: At most so many notebooks (chosen by hash) teach the model of endings.
-SAMPLE_DOCS = 8_000
+SAMPLE_DOCS = 6_000
 #: At a limit at least this share is taken to end there of its own accord: authors fit texts to the limits they know.
 OWN_SHARE = 0.02
 _PLACES = 24
@@ -124,35 +124,43 @@ def _features(context: str, kind: str, fence: bool, open_fence: bool) -> list[in
 
 
 def _lessons(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Features of own ends (label 0) and of other places (label 1) of parsed notebooks."""
+    """Features of own ends (label 0) and of other places (label 1) of parsed notebooks, and their last line ends (label 2)."""
     for frame in frames:
-        rows = []
-        for doc, text, cells in zip(frame["doc_id"], frame["text"], frame["cells"]):
-            cells = [(c["kind"] or "none", c["char_start"], c["char_start"] + c["cell_chars"]) for c in cells if c is not None and c["char_start"] is not None and c["cell_chars"] is not None]
-            if len(text) < 2 or not cells:
-                continue
-            rng = np.random.default_rng(int(doc) & 0x7FFFFFFF)
-            blind = rng.random(len(cells) + _PLACES) < 0.15  # the kind isn't always known
-            ends = set()
-            for i, (kind, _, end) in enumerate(cells):
-                ends.add(len(text[:end].rstrip("\r\n")))
-                if i == len(cells) - 1 or end > len(text):
-                    continue
-                stop = end + 4 if text[end : end + 4] == "\n```" else end
-                body, _, fence = ending(text[max(0, stop - _CONTEXT) : stop])
-                rows.append((0, 0, _features(body, "none" if blind[i] else kind, fence, bool(text.count("```", 0, stop) & 1))))
-            starts = np.array([c[1] for c in cells])
-            for j, at in enumerate(rng.integers(1, len(text), _PLACES).tolist()):
-                body, breaks, fence = ending(text[max(0, at - _CONTEXT) : at])
-                if len(text[:at].rstrip("\r\n")) in ends or not body or (fence and len(text[:at].rstrip("\r\n")) - 4 in ends):
-                    continue
-                i = int(np.searchsorted(starts, at)) - 1
-                kind = "none" if i < 0 or blind[len(cells) + j] else cells[i][0]
-                rows.append((1, breaks, _features(body, kind, fence, bool(text.count("```", 0, at) & 1))))
-            rows.append((2, ending(text[-_CONTEXT:])[1], [0] * _WIDTH))
-        label, breaks, marks = zip(*rows) if rows else ((), (), ())
-        packed = [np.array(label, dtype="int8").tobytes(), np.array(breaks, dtype="int8").tobytes(), np.array(marks, dtype="int32").tobytes()]
-        yield pd.DataFrame([packed], columns=["label", "breaks", "marks"])
+        for at in range(0, len(frame), 100):  # small parts keep the memory of a task small
+            part = frame.iloc[at : at + 100]
+            taught = [x for doc, text, cells in zip(part["doc_id"], part["text"], part["cells"]) for x in _lesson(int(doc), text, cells)]
+            if taught:
+                label, breaks, marks = zip(*taught)
+                packed = [np.array(label, dtype="int8").tobytes(), np.array(breaks, dtype="int8").tobytes(), np.concatenate(marks).tobytes()]
+                yield pd.DataFrame([packed], columns=["label", "breaks", "marks"])
+
+
+def _lesson(doc: int, text: str, cells) -> Iterator[tuple[int, int, np.ndarray]]:
+    known = [(c["kind"] or "none", c["char_start"], c["char_start"] + c["cell_chars"]) for c in cells if c is not None and c["char_start"] is not None and c["cell_chars"] is not None]
+    if len(text) < 2 or not known:
+        return
+    rng = np.random.default_rng(doc & 0x7FFFFFFF)
+    blind = rng.random(len(known) + _PLACES) < 0.15  # the kind isn't always known
+
+    def marks(body: str, kind: str, fence: bool, upto: int) -> np.ndarray:
+        return np.array(_features(body, kind, fence, bool(text.count("```", 0, upto) & 1)), dtype="int32")
+
+    ends = {len(text[:end].rstrip("\r\n")) for _, _, end in known}
+    for i, (kind, _, end) in enumerate(known[:-1]):
+        if end > len(text):
+            continue
+        stop = end + 4 if text[end : end + 4] == "\n```" else end
+        body, _, fence = ending(text[max(0, stop - _CONTEXT) : stop])
+        yield 0, 0, marks(body, "none" if blind[i] else kind, fence, stop)
+    starts = np.array([c[1] for c in known])
+    for j, at in enumerate(rng.integers(1, len(text), _PLACES).tolist()):
+        body, breaks, fence = ending(text[max(0, at - _CONTEXT) : at])
+        before = len(text[:at].rstrip("\r\n"))
+        if before in ends or not body or (fence and before - 4 in ends):
+            continue
+        i = int(np.searchsorted(starts, at)) - 1
+        yield 1, breaks, marks(body, "none" if i < 0 or blind[len(known) + j] else known[i][0], fence, at)
+    yield 2, ending(text[-_CONTEXT:])[1], np.zeros(_WIDTH, dtype="int32")
 
 
 def _sampled(docs: DataFrame, most: int) -> DataFrame:
@@ -164,12 +172,14 @@ def _sampled(docs: DataFrame, most: int) -> DataFrame:
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weights of the ending model and the log ratios for 0, 1 and 2 trailing line ends, from all lessons."""
-    held = list(batches)
-
-    def column(i: int, dtype: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(v.as_buffer(), dtype=dtype) for b in held for v in b.column(i)] or [np.empty(0, dtype)])
-
-    label, breaks, marks = column(0, "int8"), column(1, "int8"), column(2, "int32").reshape(-1, _WIDTH)
+    parts: tuple[list, list, list] = ([], [], [])
+    for batch in batches:
+        for i, dtype in enumerate(("int8", "int8", "int32")):
+            parts[i].extend(np.frombuffer(v.as_py(), dtype=dtype) for v in batch.column(i))
+    label, breaks, marks = (np.concatenate(p or [np.empty(0, d)]) for p, d in zip(parts, ("int8", "int8", "int32")))
+    for p in parts:
+        p.clear()
+    marks = marks.reshape(-1, _WIDTH)
     weights, ratio = np.zeros((1 << _BITS) + 1, dtype="float32"), np.zeros(3)
     counts = np.bincount(label, minlength=3)
     if counts[0] and counts[1]:
