@@ -107,3 +107,27 @@ def test_id_size():
 def test_short_utf8_is_skipped():
     assert list(codec.record_rows(1, b"\0\0", 31, 8)) == []
     assert list(codec.record_rows(1, bytes(8) + b"a\xff", 31, 8)) == [("utf8_name", {"name_id": 0, "name": "a�"})]
+
+
+hypothesis = pytest.importorskip("hypothesis")
+st = hypothesis.strategies
+ids = st.integers(0, 2**64 - 1)
+values = st.one_of(
+    st.tuples(st.just(2), ids), st.tuples(st.just(4), st.booleans()), st.tuples(st.just(5), st.integers(0, 65535)), st.tuples(st.just(7), st.floats(allow_nan=False)),
+    st.tuples(st.just(8), st.integers(-128, 127)), st.tuples(st.just(9), st.integers(-32768, 32767)), st.tuples(st.just(10), st.integers(-(2**31), 2**31 - 1)), st.tuples(st.just(11), st.integers(-(2**63), 2**63 - 1)),
+)
+
+
+@hypothesis.given(st.lists(st.tuples(ids, values), max_size=6), st.lists(st.tuples(ids, st.sampled_from(sorted(dims.TYPES))), max_size=6), st.lists(ids, max_size=9), st.binary(max_size=40))
+@hypothesis.settings(max_examples=60, deadline=None)
+def test_any_objects_come_back(statics, fields, elements, data):
+    w = Writer().class_dump(1, 2, 3, statics=[(n, *v) for n, v in statics], fields=fields).obj_array(4, 5, elements).instance(6, 1, data).prim_array(7, 8, data)
+    rows = dict(segment_rows(w.bytes(), ALL - {"sub_record"}))
+    got = rows["class_dump"]["static_fields"]
+    assert [(codec.signed(n), c) for n, (c, _) in statics] == [(f["name_id"], f["type_code"]) for f in got]
+    for (_, (code, v)), f in zip(statics, got):
+        key = {2: "ref_id", 4: "z", 7: "d"}.get(code, "i")
+        assert f["value"][key] == (codec.signed(v) if code == 2 else v)
+    assert [(f["name_id"], f["type_code"]) for f in rows["class_dump"]["instance_fields"]] == [(codec.signed(n), c) for n, c in fields]
+    assert rows["obj_array"]["elements"].tolist() == [codec.signed(e) for e in elements]
+    assert rows["instance"]["data"] == data and rows["prim_array"]["data"] == data
