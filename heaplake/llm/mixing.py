@@ -21,6 +21,8 @@ from ..session import materialise
 
 #: The grid on which rates are set: from 1e-7 to 64 mean copies, each place about 0.12 % above the one before.
 _RATES = 16_384
+#: Targets are a table of settings; the plan is made for at most so many sources.
+MAX_SOURCES = 10_000
 _GRID = np.append(0.0, np.geomspace(1e-7, 64.0, _RATES - 1))
 
 
@@ -64,14 +66,16 @@ def plan_rates(docs: DataFrame, targets: DataFrame, *, fill: float = 0.9, total_
     (``total_tokens`` asks for less). Defined cases: sources without documents or tokens get nothing, and the others
     share by their targets; documents of sources without a target, or with a null source or id, get 0 copies; a null or
     non-positive share or cap counts as 0. Repeated targets of a source are added (the smallest cap holds), repeated
-    documents are one.
+    documents are one. More than ``MAX_SOURCES`` target sources are an error.
     """
     wanted = (
         targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source"))
         .agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
     )
     d = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(source_name(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))).alias("f")).select("doc_id", "f.*")
-    goals = wanted.toPandas()  # one row per target source
+    goals = wanted.limit(MAX_SOURCES + 1).toPandas()
+    if len(goals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} target sources")  # the plan, and what is broadcast below, is a row each
     stepped = d.join(F.broadcast(wanted.where("max_repeats > 0 and target_share > 0")), "source").withColumn("steps", _steps(_uniform(seed, "doc_id"), F.col("max_repeats")))
     stepped = materialise(stepped.select("doc_id", "source", "n_tokens", "steps"), "steps")
     have = d.groupBy("source").agg(F.count("*").alias("source_docs"), F.sum("n_tokens").alias("source_tokens"))
