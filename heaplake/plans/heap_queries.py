@@ -269,6 +269,29 @@ def dominatees(spark, d):
     return dom.dominatees(idom, h.retained, 1 * K + 1)
 
 
+def dominators_whole(spark, d):
+    """Of all tables; the queries above take the orders of one month."""
+    return _heap(spark, d).dominator
+
+
+def dominators_distributed_whole(spark, d):
+    h = _heap(spark, d)
+    return dom.dominators(h.shallow.select("object_id"), h.refs, h["gc_root"], capacity=0)
+
+
+def retained_sizes_whole(spark, d):
+    return _heap(spark, d).retained
+
+
+def retained_topk_whole(spark, d):
+    return dom.top_retained(_heap(spark, d).retained)
+
+
+def dominatees_whole(spark, d):
+    h = _heap(spark, d)
+    return dom.dominatees(h.dominator, h.retained, 1 * K + 1)
+
+
 # --- comparison of two dumps ---------------------------------------------------------------------------------------
 
 
@@ -388,6 +411,7 @@ _FUNCTIONS = (
     wrapper_values, static_fields, declared_fields, obj_array_elements, prim_array_decode, resolved_roots, array_sizes, largest_arrays, top5_per_kind, obj_arrays_by_length, array_counts,
     root_summary, roots_by_type_page, is_gc_root, root_types_of, references, ref_count_by_kind, referrers_top50, path_to_root, paths_all, dominators, dominators_distributed, retained_sizes, retained_topk,
     dominatees, diff_entries, diff_changed, diff_by_class, diff_top, diff_net_topk, diff_totals, address_reuse, thread_list, frame_resolution, frame_classes, thread_stacks, thread_names_from_heap, size_texts,
+    dominators_whole, dominators_distributed_whole, retained_sizes_whole, retained_topk_whole, dominatees_whole,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -614,3 +638,10 @@ SQL = {
        when 8000 * n + 1 >= 1000 then printf('%.1fK', (8000 * n + 1) / 1e3) else (8000 * n + 1) || 'B' end shown from oarr""",
 }
 SQL |= {f"hprof_{n}": SQL[n] for n in ("class_histogram", "instance_fields", "java_strings", "references", "resolved_roots")}
+SQL |= {
+    "dominators_whole": _H + _IDOM + "select id object_id, up dominator_id from idom",
+    "dominators_distributed_whole": _H + _IDOM + "select id object_id, up dominator_id from idom",
+    "retained_sizes_whole": _H + _IDOM + "select * from ret",
+    "retained_topk_whole": _H + _IDOM + "select * from ret order by retained_bytes desc, object_id limit 50",
+    "dominatees_whole": _H + _IDOM + f"select object_id, retained_bytes from ret join idom on id = object_id where up = {K + 1}",
+}
