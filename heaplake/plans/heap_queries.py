@@ -337,6 +337,36 @@ def address_reuse(spark, d):
     return _entries(spark, d).where("address_reused").select("object_id")
 
 
+def _entries_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All objects of both dumps; :func:`_entries` takes orders, lines, their arrays and float arrays."""
+    return dumpdiff.compare(*[dumpdiff.comparable(h["instance"], h["obj_array"], h["prim_array"], h["class_dump"]) for h in _two(spark, d)])
+
+
+def diff_entries_whole(spark, d):
+    return _entries_whole(spark, d).select("object_id", "entry", "changed", F.col("tag").cast("int").alias("tag"), "class_key")
+
+
+def diff_by_class_whole(spark, d):
+    names = R.shop_heap(spark, d).names
+    return dumpdiff.by_class(_entries_whole(spark, d), names, names)
+
+
+def diff_top_whole(spark, d):
+    return dumpdiff.most_changed(diff_by_class_whole(spark, d), 3).select("class_name", "count_added", "count_removed")
+
+
+def diff_net_topk_whole(spark, d):
+    return dumpdiff.largest_net(diff_by_class_whole(spark, d), 3).select("class_name", "net_change")
+
+
+def diff_totals_whole(spark, d):
+    return dumpdiff.totals(diff_by_class_whole(spark, d))
+
+
+def address_reuse_whole(spark, d):
+    return _entries_whole(spark, d).where("address_reused").select("object_id")
+
+
 # --- threads -------------------------------------------------------------------------------------------------------
 
 
@@ -412,6 +442,7 @@ _FUNCTIONS = (
     root_summary, roots_by_type_page, is_gc_root, root_types_of, references, ref_count_by_kind, referrers_top50, path_to_root, paths_all, dominators, dominators_distributed, retained_sizes, retained_topk,
     dominatees, diff_entries, diff_changed, diff_by_class, diff_top, diff_net_topk, diff_totals, address_reuse, thread_list, frame_resolution, frame_classes, thread_stacks, thread_names_from_heap, size_texts,
     dominators_whole, dominators_distributed_whole, retained_sizes_whole, retained_topk_whole, dominatees_whole,
+    diff_entries_whole, diff_by_class_whole, diff_top_whole, diff_net_topk_whole, diff_totals_whole, address_reuse_whole,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -553,6 +584,46 @@ with li as ({_LINE}),
                   count_added + count_common_unchanged + count_common_changed count_after, count_added - count_removed net_change
              from g left join names n on n.class_id = g.class_id left join names m on (-9223372036854775808)::bigint + m.class_id = g.class_id)
 """
+
+
+def _side(name: str, orders: str, bumped: bool) -> str:
+    """Common tables of all objects of one dump: what the other one is compared with."""
+    o, array, prim = f"{name}_o", -(1 << 63), -(1 << 62)
+    quantity = "l_quantity + case when l_partkey % 10 = 0 then 1 else 0 end" if bumped else "l_quantity"
+    same = [("region", 1, "r_regionkey", 1), ("nation", 2, "n_nationkey", 2), ("customer", 3, "c_custkey", 3), (o, 4, "k", 4), ("part", 6, "p_partkey", 6), ("supplier", 7, "s_suppkey", 7), ("part", 8, "p_partkey", 8), ("part", 9, "p_partkey", 12), ("supplier", 10, "s_suppkey", 13)]
+    parts = [f"select {kind * K}::bigint + {key} id, 33 tag, {_C + c}::bigint key, 0::bigint size, '' pay from {t}" for t, kind, key, c in same]
+    parts += [f"select id, 33, {_C + 5}::bigint, 0, ({quantity})::varchar from li join {o} on k = l_orderkey"]
+    owned = [
+        ("region", "r_regionkey", "nation", "n_regionkey", "n_nationkey", 16, 2), ("nation", "n_nationkey", "customer", "c_nationkey", "c_custkey", 17, 3),
+        ("customer", "c_custkey", f"(select k, o_custkey from {o} join orders on o_orderkey = k)", "o_custkey", "k", 18, 4), (o, "k", "li", "l_orderkey", "id", 19, 5),
+    ]
+    for owner, key, members, by, member, kind, c in owned:
+        lists = f"(select {by} w, count(*) n, string_agg({member}::varchar, ',' order by {member}) els from {members} group by 1)"
+        parts.append(f"select {kind * K}::bigint + {key}, 34, ({array})::bigint + {_C + c}, coalesce(n, 0), coalesce(els, '') from {owner} left join {lists} on w = {key}")
+    short = "vec_id % 9 = 0" if bumped else "false"
+    parts += [
+        f"select {20 * K}::bigint + p_partkey, 35, ({prim})::bigint + 8, 0, '' from part",
+        f"select {21 * K}::bigint + vec_id, 35, ({prim})::bigint + 6, case when {short} then 32 else len(embedding) end, case when {short} then 'short' else '' end from embeddings",
+        f"select {22 * K}::bigint + doc_id, 35, ({prim})::bigint + 5, 0, '' from documents where text is not null",
+        "select class_id, 32, class_id, 0, '' from names",
+    ]
+    return f"{o} as (select o_orderkey k from orders where {orders}), {name}(id, tag, key, size, pay) as ({' union all '.join(parts)})"
+
+
+_DIFF_WHOLE = f"""
+with names(class_id, class_name, super_id) as (values {_NAMES}), li as ({_LINE}),
+     {_side("a", "o_orderdate < timestamp '1997-01-01'", False)},
+     {_side("b", "o_orderdate >= timestamp '1995-01-01'", True)},
+     e as (select coalesce(a.id, b.id) object_id, case when b.id is null then 'removed' when a.id is null then 'added' else 'common' end entry,
+                  case when a.id is not null and b.id is not null then a.pay <> b.pay end changed, coalesce(a.tag, b.tag) tag, coalesce(a.key, b.key) class_key, a.id is not null and b.id is not null and a.size <> b.size reused
+             from a full join b on b.id = a.id),
+     g as (select class_key class_id, count(*) filter (entry = 'removed') count_removed, count(*) filter (entry = 'added') count_added,
+                  count(*) filter (entry = 'common' and not changed) count_common_unchanged, count(*) filter (entry = 'common' and changed) count_common_changed from e group by 1),
+     c as (select g.class_id, coalesce(n.class_name, m.class_name || '[]', case g.class_id - ({-(1 << 62)})::bigint when 5 then 'char[]' when 6 then 'float[]' when 8 then 'byte[]' end) class_name,
+                  count_removed, count_added, count_common_unchanged, count_common_changed, count_common_unchanged + count_common_changed count_common,
+                  count_removed + count_common_unchanged + count_common_changed count_before, count_added + count_common_unchanged + count_common_changed count_after, count_added - count_removed net_change
+             from g left join names n on n.class_id = g.class_id left join names m on (-9223372036854775808)::bigint + m.class_id = g.class_id)
+"""
 _EVENTS = "with e as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events), l as (select * from e where rn <= 5) "
 
 SQL = {
@@ -644,4 +715,10 @@ SQL |= {
     "retained_sizes_whole": _H + _IDOM + "select * from ret",
     "retained_topk_whole": _H + _IDOM + "select * from ret order by retained_bytes desc, object_id limit 50",
     "dominatees_whole": _H + _IDOM + f"select object_id, retained_bytes from ret join idom on id = object_id where up = {K + 1}",
+    "diff_entries_whole": _DIFF_WHOLE + "select object_id, entry, changed, tag, class_key from e",
+    "diff_by_class_whole": _DIFF_WHOLE + "select * from c",
+    "diff_top_whole": _DIFF_WHOLE + "select class_name, count_added, count_removed from c order by count_added + count_removed desc, class_name, class_id limit 3",
+    "diff_net_topk_whole": _DIFF_WHOLE + "select class_name, net_change from c order by abs(net_change) desc, class_name, class_id limit 3",
+    "diff_totals_whole": _DIFF_WHOLE + "select " + ", ".join(f"cast(sum({x}) as bigint) {x}" for x in ("count_removed", "count_added", "count_common_unchanged", "count_common_changed", "count_common")) + " from c",
+    "address_reuse_whole": _DIFF_WHOLE + "select object_id from e where reused",
 }

@@ -19,3 +19,14 @@ def test_dominators_have_all_orders_and_lines(spark, duck):  # noqa: F811
     got = entry.queries()["dominators_whole"](spark, DATA)
     for kind, table in ((4, "orders"), (5, "lineitem")):
         assert got.where(f"shiftright(object_id, 56) = {kind}").count() == duck.sql(f"select count(*) from {table}").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("name", ["diff_entries_whole", "diff_by_class_whole", "diff_top_whole", "diff_net_topk_whole", "diff_totals_whole", "address_reuse_whole"])
+def test_diff(spark, duck, name):  # noqa: F811
+    same(spark, duck, name)
+
+
+def test_diff_has_changed_order_arrays(spark):
+    rows = {r["class_name"]: r for r in entry.queries()["diff_by_class_whole"](spark, DATA).collect()}
+    assert rows["shop.Order[]"]["count_common_changed"] > 0
+    assert {"char[]", "byte[]", "shop.Customer[]", "shop.Supplier", "java.lang.String"} <= set(rows)
