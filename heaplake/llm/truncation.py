@@ -30,7 +30,7 @@ from .mixing import source_name
 #: Transfer blocks: ends at equal places of blocks this large are counted together.
 BLOCK_BYTES = 4096
 #: At most so many notebooks (chosen by hash) teach the model of endings.
-SAMPLE_DOCS = 6_000
+SAMPLE_DOCS = 8_000
 #: At a limit at least this share is taken to end there of its own accord: authors fit texts to the limits they know.
 OWN_SHARE = 0.02
 _PLACES = 24
