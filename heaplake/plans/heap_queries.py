@@ -165,6 +165,24 @@ def resolved_roots(spark, d):
     return resolve.resolved_roots(h["gc_root"], h.types, h.names).select("root_type", "object_id", "resolved_name")
 
 
+def resolved_instances_whole(spark, d):
+    """The fields of every resolved instance, of whatever class, one row each."""
+    h = _heap(spark, d)
+    rows = resolve.resolved_instances(h.fields, h.names).select("object_id", "class_name", F.explode("fields").alias("f"))
+    return rows.select("object_id", "class_name", F.col("f.ord").cast("long").alias("ord"), F.col("f.name").alias("name"), F.col("f.value.ref_id").alias("ref_id"), F.col("f.value.i").alias("i"), F.col("f.value.d").alias("d"))
+
+
+def obj_array_elements_whole(spark, d):
+    rows = resolve.array_elements(_heap(spark, d)["obj_array"])
+    return rows.select("array_id", F.col("pos").cast("long").alias("pos"), "element_id")
+
+
+def prim_array_decode_whole(spark, d):
+    """Every element of every primitive array: bytes and UTF-16 code units in ``i``, floats in ``d``."""
+    rows = resolve.prim_elements(_heap(spark, d)["prim_array"])
+    return rows.select("array_id", F.col("element_type").cast("int").alias("element_type"), F.col("pos").cast("long").alias("pos"), F.col("value.i").alias("i"), F.col("value.d").alias("d"))
+
+
 # --- arrays --------------------------------------------------------------------------------------------------------
 
 
@@ -207,6 +225,11 @@ def is_gc_root(spark, d):
     return stats.is_root(nations, "object_id", h["gc_root"])
 
 
+def is_gc_root_whole(spark, d):
+    h = _heap(spark, d)
+    return stats.is_root(h.shallow.select("object_id"), "object_id", h["gc_root"])
+
+
 def root_types_of(spark, d):
     return stats.root_types_of(_heap(spark, d)["gc_root"]).select("object_id", F.array_join("root_types", ",").alias("root_types"))
 
@@ -443,6 +466,7 @@ _FUNCTIONS = (
     dominatees, diff_entries, diff_changed, diff_by_class, diff_top, diff_net_topk, diff_totals, address_reuse, thread_list, frame_resolution, frame_classes, thread_stacks, thread_names_from_heap, size_texts,
     dominators_whole, dominators_distributed_whole, retained_sizes_whole, retained_topk_whole, dominatees_whole,
     diff_entries_whole, diff_by_class_whole, diff_top_whole, diff_net_topk_whole, diff_totals_whole, address_reuse_whole,
+    resolved_instances_whole, obj_array_elements_whole, prim_array_decode_whole, is_gc_root_whole,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -721,4 +745,7 @@ SQL |= {
     "diff_net_topk_whole": _DIFF_WHOLE + "select class_name, net_change from c order by abs(net_change) desc, class_name, class_id limit 3",
     "diff_totals_whole": _DIFF_WHOLE + "select " + ", ".join(f"cast(sum({x}) as bigint) {x}" for x in ("count_removed", "count_added", "count_common_unchanged", "count_common_changed", "count_common")) + " from c",
     "address_reuse_whole": _DIFF_WHOLE + "select object_id from e where reused",
+    "resolved_instances_whole": _H + f", f as ({_FIELDS}) select f.object_id, class_name, f.ord, f.name, f.ref_id, f.i, f.d from f join inst on inst.id = f.object_id join names on class_id = cls",
+    "obj_array_elements_whole": _H + "select arr array_id, pos, el element_id from elems",
+    "is_gc_root_whole": _H + "select id object_id, id in (select id from roots) is_root from obj",
 }
