@@ -33,6 +33,8 @@ BLOCK_BYTES = 4096
 SAMPLE_DOCS = 8_000
 #: At a limit at least this share is taken to end there of its own accord: authors fit texts to the limits they know.
 OWN_SHARE = 0.02
+#: The share of a source's texts that are cut at no particular length stays this far from 0 and 1: only so that its odds are finite.
+_LEAST_SHARE = 1e-4
 _PLACES = 24
 _CONTEXT = 240
 _BITS = 18
@@ -247,7 +249,7 @@ def _prior(bins: pd.DataFrame) -> pd.DataFrame:
     """The log odds of a source's texts to be cut at no particular length, from the histogram of their scores."""
     share, ratio, n = 0.01, np.exp(bins["score"].to_numpy()), bins["n"].to_numpy()
     for _ in range(30):
-        share = min(0.2, max(1e-4, float((n * share * ratio / (share * ratio + 1 - share)).sum() / n.sum())))
+        share = min(1 - _LEAST_SHARE, max(_LEAST_SHARE, float((n * share * ratio / (share * ratio + 1 - share)).sum() / n.sum())))
     return pd.DataFrame({"source": bins["source"].iloc[:1], "prior": [math.log(share / (1 - share))]})
 
 
