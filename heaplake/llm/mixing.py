@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 
-#: The grid on which rates are set: from 1e-7 to 64 mean copies, each place about 0.12 % above the one before.
+#: The grid on which rates are set: from 1e-7 to 64 mean copies, each place about 0.12 % above the one before; see :func:`rate_grid`.
 _RATES = 16_384
 #: Targets are a table of settings; the plan is made for at most so many sources.
 MAX_SOURCES = 10_000
@@ -35,23 +35,38 @@ def _uniform(seed: int, key: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / F.lit(float(1 << 53))
 
 
-def poisson_steps(u: np.ndarray, most: int) -> np.ndarray:
-    """For each uniform number the grid places from which on the inverse Poisson distribution is at least 1..``most``."""
-    grid = _GRID
+def rate_grid(most: int) -> np.ndarray:
+    """The grid carried on, with the same ratio, to a rate at which nearly every document has ``most`` copies."""
+    top, ratio = most + 10 * math.sqrt(most) + 40, _GRID[-1] / _GRID[-2]
+    more = max(0, math.ceil(math.log(top / _GRID[-1]) / math.log(ratio)))
+    return np.append(_GRID, _GRID[-1] * ratio ** np.arange(1, more + 1))
+
+
+def poisson_steps(u: np.ndarray, most: int, grid: np.ndarray = _GRID) -> np.ndarray:
+    """For each uniform number the grid places from which on the inverse Poisson distribution is at least 1..``most``.
+
+    The place after the last one stands for rates beyond the grid.
+    """
+    high = grid > _GRID[-1]  # there exp(-rate) may be too small for a product that begins with it
+    logs = np.log(grid[high])
     term = below = np.exp(-grid)
     out = np.empty((len(u), most), dtype="int32")
     for copy in range(1, most + 1):
         # below = P(fewer than copy) falls along the grid; the place is the first with below <= u
         out[:, copy - 1] = len(grid) - np.searchsorted(below[::-1], u, side="right")
         term = term * grid / copy
+        term[high] = np.exp(copy * logs - grid[high] - math.lgamma(copy + 1))
         below = below + term
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _steps(u: pd.Series, most: pd.Series) -> pd.Series:
-    steps = poisson_steps(u.to_numpy(), max(1, int(most.max())) if len(most) else 1)
-    return pd.Series([row[: max(0, m)] for row, m in zip(steps, most.tolist())])
+def _steps(grid: np.ndarray):
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(u: pd.Series, most: pd.Series) -> pd.Series:
+        steps = poisson_steps(u.to_numpy(), max(1, int(most.max())) if len(most) else 1, grid)
+        return pd.Series([row[: max(0, m)] for row, m in zip(steps, most.tolist())])
+
+    return run
 
 
 def plan_rates(docs: DataFrame, targets: DataFrame, *, fill: float = 0.9, total_tokens: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +91,8 @@ def plan_rates(docs: DataFrame, targets: DataFrame, *, fill: float = 0.9, total_
     goals = wanted.limit(MAX_SOURCES + 1).toPandas()
     if len(goals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")  # the plan, and what is broadcast below, is a row each
-    stepped = d.join(F.broadcast(wanted.where("max_repeats > 0 and target_share > 0")), "source").withColumn("steps", _steps(_uniform(seed, "doc_id"), F.col("max_repeats")))
+    grid = rate_grid(max(1, int(goals["max_repeats"].max())) if len(goals) else 1)
+    stepped = d.join(F.broadcast(wanted.where("max_repeats > 0 and target_share > 0")), "source").withColumn("steps", _steps(grid)(_uniform(seed, "doc_id"), F.col("max_repeats")))
     stepped = materialise(stepped.select("doc_id", "source", "n_tokens", "steps"), "steps")
     have = d.groupBy("source").agg(F.count("*").alias("source_docs"), F.sum("n_tokens").alias("source_tokens"))
     stock = dict(stepped.groupBy("source").agg(F.sum("n_tokens")).collect())  # at most one row per target source
@@ -87,7 +103,7 @@ def plan_rates(docs: DataFrame, targets: DataFrame, *, fill: float = 0.9, total_
     size = min(size, total_tokens) if total_tokens is not None else size
 
     # what each source yields at each place of the grid
-    yields = stepped.select("source", "n_tokens", F.explode("steps").alias("place")).groupBy("source", "place").agg(F.sum("n_tokens").alias("tokens")).toPandas()  # sources x grid rows at most
+    yields = stepped.select("source", "n_tokens", F.explode("steps").alias("place")).where(F.col("place") < len(grid)).groupBy("source", "place").agg(F.sum("n_tokens").alias("tokens")).toPandas()  # sources x grid rows at most
     places = []
     for r in live.itertuples():
         mine = yields[yields["source"] == r.source].sort_values("place")
@@ -97,7 +113,7 @@ def plan_rates(docs: DataFrame, targets: DataFrame, *, fill: float = 0.9, total_
     spark = docs.sparkSession
     chosen = spark.createDataFrame(places or [("", -1, 0.0, 0.0)], "source string, place int, share_of_targets double, wanted_tokens double")
     counted = stepped.join(F.broadcast(chosen), "source", "left").select(
-        "doc_id", "source", "n_tokens", F.coalesce(F.size(F.filter("steps", lambda s: (s <= F.col("place")) & (s < _RATES))), F.lit(0)).alias("copies")
+        "doc_id", "source", "n_tokens", F.coalesce(F.size(F.filter("steps", lambda s: s <= F.col("place"))), F.lit(0)).alias("copies")
     )
     used = counted.where("copies > 0").groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.sum("copies").cast("long").alias("mixed_rows"), F.max("copies").alias("most_repeats"))
     report = have.where("source is not null").join(wanted, "source", "full").join(chosen.where("source <> ''"), "source", "left").join(used, "source", "left")
