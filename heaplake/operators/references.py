@@ -27,7 +27,7 @@ def dictionary_encode(df: DataFrame, column: str, code: str = "code") -> DataFra
     before it (one count per partition is all that is gathered).
     """
     values = df.select(F.col(column).alias("_v")).where("_v is not null").distinct()
-    placed = values.repartitionByRange("_v").withColumn("_p", F.spark_partition_id())
+    placed = materialise(values.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "dictionary")  # read twice: bounds are sampled
     ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_v")))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,13 +50,19 @@ def _word(key: str) -> list[Column]:
     ]
 
 
+def _key(df: DataFrame, column: str) -> Column:
+    """Text stays text, to be encoded by :func:`orphan_references`; numbers are integers."""
+    text = df.select(column).dtypes[0][1]
+    return F.col(column) if text == "string" else F.col(column).cast("long")
+
+
 def references(df: DataFrame, name: str, scope: str, record: str, reference: str, delivered: str, taken: str) -> DataFrame:
     """The references of one table in the common form that :func:`orphan_references` takes."""
     return df.select(
         F.lit(name).alias("ref_table"),
         F.col(scope).cast("long").alias("scope"),
         F.col(record).cast("long").alias("record_id"),
-        F.col(reference).cast("long").alias("key"),
+        _key(df, reference).alias("key"),
         F.col(delivered).alias("delivered"),
         F.col(taken).alias("taken"),
     )
@@ -66,7 +72,7 @@ def targets(df: DataFrame, scope: str, key: str, delivered: str, valid: Column |
     """The records that references may point to; ``valid`` leaves out those that no longer count."""
     kept = df if valid is None else df.where(valid)
     return kept.select(
-        F.col(scope).cast("long").alias("scope"), F.col(key).cast("long").alias("key"), F.col(delivered).alias("delivered")
+        F.col(scope).cast("long").alias("scope"), _key(df, key).alias("key"), F.col(delivered).alias("delivered")
     )
 
 
@@ -81,8 +87,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, period_seconds: int =
     no records and are skipped, as are parents without scope or key. A null delivery time counts as before all others.
     Empty inputs give an empty result (all references, when only ``parents`` is empty). Other columns are ignored.
 
+    Text keys (an integer key on one side only counts as its text) are dictionary-encoded over both inputs and come back as text.
+
     A key that many records miss is one bit until the end; the join back to the records is salted by ``salts``.
     """
+    if "string" in (refs.select("key").dtypes[0][1], parents.select("key").dtypes[0][1]):
+        return _text_orphans(refs, parents, period_seconds, salts)
     period = period_seconds * 1_000_000
     r = (
         refs.where("scope is not null and record_id is not null")
@@ -145,6 +155,21 @@ def orphan_references(refs: DataFrame, parents: DataFrame, period_seconds: int =
     )
 
 
+def _text_orphans(refs: DataFrame, parents: DataFrame, period_seconds: int, salts: int) -> DataFrame:
+    def text(df: DataFrame) -> DataFrame:
+        key = F.col("key") if df.select("key").dtypes[0][1] == "string" else F.nullif("key", F.lit(0).cast("long")).cast("string")
+        return df.withColumn("key", key)
+
+    r, p = text(refs), text(parents)
+    codes = materialise(dictionary_encode(r.select("key").unionByName(p.select("key")), "key", "_code"), "codes").withColumn("_code", F.col("_code") + 1)  # 0 refers to nothing
+
+    def coded(df: DataFrame) -> DataFrame:
+        return df.join(codes, "key", "left").withColumn("key", F.col("_code")).drop("_code")
+
+    found = orphan_references(coded(r), coded(p), period_seconds, salts)
+    return found.withColumnRenamed("key", "_code").join(codes, "_code").select("ref_table", "scope", "record_id", "key", "taken", "reason")
+
+
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Number of orphan references and of distinct missing keys per referring table and calendar month."""
     month = F.date_format("taken", "yyyy-MM")
