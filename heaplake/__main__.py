@@ -36,6 +36,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--diff-hprof")
     parser.add_argument("--port", "-p", type=int, default=7000)
     parser.add_argument("--sql", help="query: a statement over the tables of the dump")
+    parser.add_argument("--out", help="query: write all rows as Parquet to this folder instead of printing them")
     given = parser.parse_args(args)
     paths = [p for p in (given.hprof, given.diff_hprof) if p]
     for p in paths:
@@ -55,7 +56,13 @@ def main(args: list[str] | None = None) -> int:
         analysis.diff().show(50, truncate=False)
     elif given.command == "query":
         heaps[0].register()
-        spark.sql(given.sql or "select * from class_dump").show(200, truncate=False)
+        found = spark.sql(given.sql or "select * from class_dump")
+        if given.out:
+            found.write.parquet(given.out)
+        else:
+            print("\t".join(found.columns))
+            for row in found.toLocalIterator():  # one partition at a time; --out leaves large results on the cluster
+                print("\t".join("" if v is None else str(v) for v in row))
     else:
         from .server import serve
 

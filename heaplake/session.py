@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,16 +56,26 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Only a session on one machine gets a temporary folder where neither is set; on a cluster that is an error, because
+    executors would write where the others can't read.
+    """
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if known:
         return known
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = tempfile.mkdtemp(prefix="heaplake-")
-        context.setCheckpointDir(folder)
-        atexit.register(shutil.rmtree, folder, True)
+    if not is_local(spark):
+        raise RuntimeError(f"master {context.master}: set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="heaplake-")
+    context.setCheckpointDir(folder)
+    atexit.register(shutil.rmtree, folder, True)
     return context.getCheckpointDir()
 
 
@@ -108,5 +120,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged (a shuffle join follows)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged (a shuffle join follows).
+
+    ``df`` is counted first, so it should be cheap to read twice: a materialised table, or one of few rows.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def join_few(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = 100_000, salts: int = 32) -> DataFrame:
+    """``df`` joined with the few rows of ``few``, one per key, whatever share of ``df`` a key holds.
+
+    Up to ``max_rows`` rows are broadcast. Beyond that each row of ``few`` goes to ``salts`` places and the rows of a key
+    in ``df`` are spread over them, so that no key is one task's work. ``how``: inner, left, left_semi or left_anti.
+    """
+    if few.count() <= max_rows:
+        return df.join(F.broadcast(few), list(keys), how)
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    whole_row = F.xxhash64(*[F.col(c) for c, kind in df.dtypes if not kind.startswith(("map", "variant"))])  # repeatable, unlike a random number
+    salted = df.withColumn("_salt", F.pmod(whole_row, F.lit(salts)).cast("int"))
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
