@@ -4,7 +4,8 @@ Every document has a uniform number made from a seed and its id; its number of c
 distribution at that number, cut at the source's cap. The distribution's mean is the source's rate. Copies grow with the
 rate while the uniform numbers stay, so the tokens that a source really yields are a step function of its rate; it is
 taken from a histogram of the steps (sources x grid rows, whatever the number of documents), and the rate is set where
-the yield meets the target. Copies are then exploded and put in a global random order.
+the yield meets the target. Copies are then exploded and put in a global random order. Nothing per source or document
+comes to the driver.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import join_few, materialise
 
 #: The grid on which rates are set: from 1e-7 to 64 mean copies, each place about 0.12 % above the one before; see :func:`rate_grid`.
 _RATES = 16_384
-#: Targets are a table of settings; the plan is made for at most so many sources.
-MAX_SOURCES = 10_000
 _GRID = np.append(0.0, np.geomspace(1e-7, 64.0, _RATES - 1))
 
 
@@ -69,59 +68,89 @@ def _steps(grid: np.ndarray):
     return run
 
 
+def _level(limits: DataFrame, total: float) -> float:
+    """The level L at which the sum of min(limit, share * L) is ``total``; infinite if all limits together don't reach it.
+
+    Found by narrowing an interval, each time with one aggregation of a row per source.
+    """
+    bounds = limits.agg(F.sum("most").alias("all"), F.max(F.col("most") / F.col("share")).alias("top")).first()
+    if bounds["all"] is None or bounds["all"] <= total:
+        return math.inf
+    low, high = 0.0, float(bounds["top"])
+    for _ in range(6):
+        marks = np.linspace(low, high, 34)[1:-1].tolist()
+        sums = limits.agg(*[F.sum(F.least("most", F.col("share") * F.lit(x))).alias(f"s{i}") for i, x in enumerate(marks)]).first()
+        i = int(np.searchsorted(np.array(sums, dtype="float64"), total))
+        low, high = ([low, *marks][i], [*marks, high][i])
+    return (low + high) / 2
+
+
 def plan_rates(docs: DataFrame, targets: DataFrame, *, fill: float = 0.9, total_tokens: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Copies per document and the plan per source.
 
     ``docs``: doc_id, source, n_tokens (one row per document). ``targets``: source, target_share, max_repeats.
-    The first result has doc_id, source, n_tokens, copies (0 or more); the second, one row per source of either input,
-    has source, target_share, max_repeats, source_docs, source_tokens, wanted_tokens, mixed_tokens, mixed_rows,
-    actual_share and share_of_targets (the target among the sources that can be met).
-
-    The mixture is as large as the scarcest source allows: it may use ``fill`` of what its cap allows at most
-    (``total_tokens`` asks for less). Defined cases: sources without documents or tokens get nothing, and the others
-    share by their targets; documents of sources without a target, or with a null source or id, get 0 copies; a null or
-    non-positive share or cap counts as 0. Repeated targets of a source are added (the smallest cap holds), repeated
-    documents are one. More than ``MAX_SOURCES`` target sources are an error.
+    The first result has doc_id, source, n_tokens, copies (0 or more) of the documents of target sources; the second, one
+    row per source of either input, has source, target_share, max_repeats, source_docs, source_tokens, share_of_targets (the target among the sources that
+    can be met), wanted_tokens, mixed_tokens, mixed_rows, most_repeats, actual_share, short_tokens (wanted but not there
+    within the cap) and unused_tokens (of documents that occur in no copy).
+
+    Without ``total_tokens`` the targets fix the size: the mixture is the largest in which every target share is met while
+    the scarcest source uses ``fill`` of what its cap allows. With ``total_tokens`` that size is met as far as all caps
+    together allow: a source at its cap gives all that it may, the others make up for it by their targets, and the
+    report says what each is short of its share.
+
+    Defined cases: sources without documents or tokens get nothing, and the others share by their targets; documents of
+    sources without a target, or with a null source or id, get no copies; a null or non-positive share or cap counts as
+    0. Repeated targets of a source are added (the smallest cap holds), repeated documents are one. Sources and targets
+    may be any number; a document's steps take as many numbers as its cap.
     """
-    wanted = (
+    nought, none = F.lit(0.0), F.lit(0)
+    wanted = materialise(
         targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source"))
-        .agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
+        .agg(F.sum(F.greatest(F.coalesce("target_share", nought), nought)).alias("target_share"), F.min(F.greatest(F.coalesce("max_repeats", none), none)).alias("max_repeats")),
+        "targets",
     )
     d = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(source_name(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))).alias("f")).select("doc_id", "f.*")
-    goals = wanted.limit(MAX_SOURCES + 1).toPandas()
-    if len(goals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")  # the plan, and what is broadcast below, is a row each
-    grid = rate_grid(max(1, int(goals["max_repeats"].max())) if len(goals) else 1)
-    stepped = d.join(F.broadcast(wanted.where("max_repeats > 0 and target_share > 0")), "source").withColumn("steps", _steps(grid)(_uniform(seed, "doc_id"), F.col("max_repeats")))
-    stepped = materialise(stepped.select("doc_id", "source", "n_tokens", "steps"), "steps")
-    have = d.groupBy("source").agg(F.count("*").alias("source_docs"), F.sum("n_tokens").alias("source_tokens"))
-    stock = dict(stepped.groupBy("source").agg(F.sum("n_tokens")).collect())  # at most one row per target source
-    goals["stock"] = [int(stock.get(s) or 0) for s in goals["source"]]
-    live = goals[(goals["stock"] > 0) & (goals["target_share"] > 0) & (goals["max_repeats"] > 0)].copy()
-    live["share"] = live["target_share"] / live["target_share"].sum()
-    size = min([fill * r.max_repeats * r.stock / r.share for r in live.itertuples()], default=0.0)
-    size = min(size, total_tokens) if total_tokens is not None else size
-
-    # what each source yields at each place of the grid
-    yields = stepped.select("source", "n_tokens", F.explode("steps").alias("place")).where(F.col("place") < len(grid)).groupBy("source", "place").agg(F.sum("n_tokens").alias("tokens")).toPandas()  # sources x grid rows at most
-    places = []
-    for r in live.itertuples():
-        mine = yields[yields["source"] == r.source].sort_values("place")
-        reached = np.cumsum(mine["tokens"].to_numpy(dtype="float64"))
-        i = int(np.argmin(np.abs(np.append(0.0, reached) - size * r.share)))
-        places.append((r.source, int(mine["place"].iloc[i - 1]) if i else -1, float(r.share), float(size * r.share)))
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame(places or [("", -1, 0.0, 0.0)], "source string, place int, share_of_targets double, wanted_tokens double")
-    counted = stepped.join(F.broadcast(chosen), "source", "left").select(
-        "doc_id", "source", "n_tokens", F.coalesce(F.size(F.filter("steps", lambda s: s <= F.col("place"))), F.lit(0)).alias("copies")
+    most = wanted.where("target_share > 0").agg(F.max("max_repeats")).first()[0]
+    grid = rate_grid(max(1, most or 0))
+    live = wanted.where("max_repeats > 0 and target_share > 0")
+    joined = join_few(d, live.select("source", "max_repeats"), ["source"], "left")
+    # once for everything below: the steps, the stock of each source and the copies
+    stepped = materialise(joined.withColumn("steps", F.when(F.col("max_repeats").isNotNull(), _steps(grid)(_uniform(seed, "doc_id"), F.coalesce("max_repeats", none)))).drop("max_repeats"), "steps")
+    have = materialise(stepped.groupBy("source").agg(F.count("*").alias("source_docs"), F.sum("n_tokens").alias("source_tokens")), "stock")
+
+    limits = live.join(have, "source").where("source_tokens > 0")
+    shares = limits.agg(F.sum("target_share")).first()[0] or 1.0
+    limits = materialise(limits.select("source", (F.col("target_share") / shares).alias("share"), (F.col("max_repeats") * F.col("source_tokens")).cast("double").alias("most")), "limits")
+    if total_tokens is None:
+        level = size = limits.agg(F.min(F.lit(fill) * F.col("most") / F.col("share"))).first()[0] or 0.0
+    else:
+        level, size = _level(limits, float(total_tokens)), float(total_tokens)
+    aims = limits.select("source", "share", "most", F.least("most", F.col("share") * F.lit(level)).alias("aim"))
+
+    # what each source yields at each place of the grid, and the place where the yield is nearest to its aim
+    steps = stepped.select("source", "n_tokens", F.explode("steps").alias("place")).where(F.col("place") < len(grid))
+    yields = steps.groupBy("source", "place").agg(F.sum("n_tokens").alias("tokens"))  # a source has at most as many rows as the grid
+    reached = F.sum("tokens").over(Window.partitionBy("source").orderBy("place")).cast("double")
+    choices = yields.select("source", "place", reached.alias("reached")).unionByName(limits.select("source", F.lit(-1).alias("place"), nought.alias("reached")))
+    nearest = choices.join(aims, "source").groupBy("source").agg(
+        F.min(F.struct(F.abs(F.col("reached") - F.col("aim")).alias("off"), "place")).alias("best"), F.first("share").alias("share_of_targets")
     )
-    used = counted.where("copies > 0").groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.sum("copies").cast("long").alias("mixed_rows"), F.max("copies").alias("most_repeats"))
-    report = have.where("source is not null").join(wanted, "source", "full").join(chosen.where("source <> ''"), "source", "left").join(used, "source", "left")
-    nought = {c: 0 for c in ("source_docs", "source_tokens", "mixed_tokens", "mixed_rows", "most_repeats")}
-    report = report.fillna(nought).fillna({"target_share": 0.0, "share_of_targets": 0.0, "wanted_tokens": 0.0})
-    total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # one row per source
-    report = report.drop("place").withColumn("actual_share", F.when(total > 0, F.col("mixed_tokens") / total).otherwise(0.0))
-    return counted, report
+    chosen = materialise(nearest.select("source", F.col("best.place").alias("place"), "share_of_targets", (F.col("share_of_targets") * size).alias("wanted_tokens")), "places")
+
+    copies = F.coalesce(F.size(F.filter("steps", lambda s: s <= F.col("place"))), none)
+    each = join_few(stepped, chosen.select("source", "place"), ["source"], "left").select(
+        "doc_id", "source", "n_tokens", F.col("steps").isNotNull().alias("aimed"), F.when(F.col("place").isNull() | F.col("steps").isNull(), 0).otherwise(copies).alias("copies")
+    )
+    used = each.groupBy("source").agg(
+        F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.sum("copies").cast("long").alias("mixed_rows"), F.max("copies").alias("most_repeats"),
+        F.sum(F.when(F.col("copies") == 0, F.col("n_tokens")).otherwise(0)).alias("unused_tokens"),
+    )
+    report = have.where("source is not null").join(wanted, "source", "full").join(chosen.drop("place"), "source", "left").join(used, "source", "left")
+    report = report.fillna({c: 0 for c in ("source_docs", "source_tokens", "mixed_tokens", "mixed_rows", "most_repeats", "unused_tokens")}).fillna({"target_share": 0.0, "share_of_targets": 0.0, "wanted_tokens": 0.0})
+    report = materialise(report.withColumn("short_tokens", F.greatest(F.col("wanted_tokens") - F.col("mixed_tokens"), nought)), "report")
+    total = report.agg(F.sum("mixed_tokens")).first()[0] or 0
+    return each.where("aimed").drop("aimed"), report.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(total)) if total else nought)
 
 
 def mixture(docs: DataFrame, counted: DataFrame, *, seed: int = 0) -> DataFrame:
