@@ -85,12 +85,18 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(truncation.truncated(_documents(spark, d)))
 
 
+def p8_ways(spark: SparkSession, d: str) -> DataFrame:
+    """How many cut texts each way finds: significant lengths with incomplete endings, endings elsewhere, copies."""
+    rated = truncation.truncated(_documents(spark, d)).where("cut")
+    return rated.groupBy("way").agg(F.count("*").alias("cut_texts"))
+
+
 def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     """The significant lengths of each source."""
     return truncation.significant_lengths(truncation.length_tests(truncation.text_lengths(_documents(spark, d))))
 
 
-QUERIES = {f.__name__: f for f in (p4_daily, p4_union, p4_measures, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_report, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p4_daily, p4_union, p4_measures, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_report, p8_ways, p8_lengths)}
 
 _P4 = """
 with v as (select 'array_size.byte_size' measure, any_value(kind) group_key, any_value(dump_ts) ts, any_value(byte_size) x from array_size group by dump_id, object_id
