@@ -81,6 +81,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _delete(spark: SparkSession, path: str) -> None:
     try:
+        if path.startswith("table:"):
+            spark.sql(f"drop table if exists {path[6:]}")
+            return
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -110,6 +113,13 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     _kept.append((spark, path))
 
 
+def drop_at_exit(spark: SparkSession, table: str) -> None:
+    """Forget a table of the session's catalog when the process ends, or with :func:`discard`; its files have their own folder."""
+    if not _kept:
+        atexit.register(discard)
+    _kept.append((spark, f"table:{table}"))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     spark = df.sparkSession
