@@ -216,3 +216,36 @@ def test_first_delivery_counts(spark):
     assert sorted(map(tuple, skew.once(df, ["k"], "ingested_at", "v").collect()), key=str) == [(1, 6), (2, None), (None, 1)]
     totals = skew.roll_up(skew.key_states(df, ["k"], {"v": "v"}), [], ["row_count", "v"]).first()
     assert tuple(totals) == (5, 19) and Counter(df.columns)["v"] == 1
+
+
+def test_later_snapshots_are_added_to_the_kept_layout(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2]), d, d, 33, rng.randrange(40) * 999, 1, bytes([rng.randrange(2)]), 0) for d in range(4) for _ in range(60)]
+    kept = snapshots.keep_snapshots(snap(spark, [r for r in rows if r[1] in (0, 2)]), path=str(tmp_path / "kept"))
+    snapshots.keep_snapshots(snap(spark, [r for r in rows if r[1] in (1, 3)]), to=kept)  # one of them lies between those that are there
+    got = snapshots.kept_changes(kept)
+    assert sorted((r["process_id"], r["dump_id"], r["object_id"], r["change_kind"]) for r in got.collect()) == sorted(brute_changes(rows))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(_o" not in plan.split("BroadcastExchange")[0], plan  # the kept rows don't move
+
+
+def test_more_snapshots_than_are_broadcast(spark):
+    rows = [(1, d, d, 33, o, 1, bytes([d % 2 * (o % 3)]), 0) for d in range(6) for o in range(30)]
+    got = snapshots.snapshot_changes(snap(spark, rows), max_snapshots=2)
+    assert sorted((r["process_id"], r["dump_id"], r["object_id"], r["change_kind"]) for r in got.collect()) == sorted(brute_changes(rows))
+
+
+def test_orphans_of_hot_and_deleted_keys(spark):
+    records = [(1, i, 77 if i % 3 else 78, 1) for i in range(300)]
+    r = refs.references(spark.createDataFrame([(*x[:3], minutes(x[3]), T0) for x in records], "d long, i long, k long, at timestamp, ts timestamp"), "t", "d", "i", "k", "at", "ts")
+    p = refs.targets(spark.createDataFrame([(1, 78, minutes(0), True), (1, 79, minutes(0), None)], "d long, k long, at timestamp, gone boolean"), "d", "k", "at", ~F.col("gone"))
+    got = refs.orphan_references(r, p, hot_rows=150, salts=4)
+    assert Counter((x["key"], x["reason"]) for x in got.collect()) == {(77, "missing"): 200, (78, "deleted"): 100}
+    assert {tuple(x) for x in refs.orphan_reasons(got).collect()} == {("t", "2025-01", "missing", 200), ("t", "2025-01", "deleted", 100)}
+
+
+def test_products_beyond_64_bits(spark):
+    left = spark.range(3).select(F.lit(1).alias("k"), F.lit(2**61).alias("a"))
+    right = spark.range(50).select(F.lit(1).alias("k"))
+    row = skew.eager_join_aggregate(left, right, ["k"], {"a": "a"}, {}).first()
+    assert (row["pair_count"], row["a"]) == (150, 150 * 2**61)
