@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,11 +53,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, sample_row
 def heavy_keys(df: DataFrame, scope: str, key: str, least_share: float) -> DataFrame:
     """Keys with at least ``least_share`` of all rows of their ``scope``, every delivered row counted.
 
-    Rows with a null key count in the total but the null key is never reported. The total per scope is rolled up from
-    the per-key states and joined to them, so both sides of the join are already aggregated.
+    Rows with a null key count in the total but the null key is never reported.
     """
-    states = key_states(df, [scope, key], {})
-    totals = states.groupBy(scope).agg(F.sum("row_count").alias("total_rows"))
+    return heavy_states(key_states(df, [scope, key], {}), scope, key, least_share)
+
+
+def heavy_states(states: DataFrame, scope: str, key: str, least_share: float) -> DataFrame:
+    """:func:`heavy_keys` from states (``scope``, ``key``, row_count): totals per scope are rolled up from the states and
+    joined to them, so both sides of the join are already aggregated."""
+    totals = roll_up(states, [scope], ["row_count"]).withColumnRenamed("row_count", "total_rows")
     shares = states.where(F.col(key).isNotNull()).join(totals, scope)
     return shares.where(F.col("row_count") >= F.lit(least_share) * F.col("total_rows")).select(
         scope, key, "row_count", "total_rows", (F.col("row_count") / F.col("total_rows")).alias("share")
@@ -70,15 +74,19 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, keys: Sequence[str],
     Returns keys, left_rows, right_rows, pair_count (rows of the join) and each requested sum over the rows of the join:
     a left sum counts once for every right row and the other way round. With ``how="full"`` a key of one side only has
     pair_count 0 and its own plain sums (the totals of both tables side by side). Null keys join nothing; with "full"
-    they are kept as a row of each side.
+    they are kept as a row of each side. Products have 38 decimal digits, so two keys of billions of rows don't overflow.
     """
     a = key_states(left, keys, left_sums).withColumnRenamed("row_count", "left_rows")
     b = key_states(right, keys, right_sums).withColumnRenamed("row_count", "right_rows")
     joined = a.join(b, list(keys), how)
     lr, rr = F.coalesce("left_rows", F.lit(0).cast("long")), F.coalesce("right_rows", F.lit(0).cast("long"))
-    scale = (lambda n, other: F.coalesce(F.col(n), F.lit(0).cast("long"))) if how == "full" else (lambda n, other: F.col(n) * other)
+
+    def wide(c: Column) -> Column:
+        return c.cast("decimal(19,0)")
+
+    scale = (lambda n, other: F.coalesce(F.col(n), F.lit(0).cast("long"))) if how == "full" else (lambda n, other: wide(F.col(n)) * wide(other))
     return joined.select(
-        *keys, lr.alias("left_rows"), rr.alias("right_rows"), (lr * rr).alias("pair_count"),
+        *keys, lr.alias("left_rows"), rr.alias("right_rows"), (wide(lr) * wide(rr)).alias("pair_count"),
         *[scale(n, rr).alias(n) for n in left_sums], *[scale(n, lr).alias(n) for n in right_sums],
     )
 

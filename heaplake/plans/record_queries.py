@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import hierarchy as trees
 from ..operators import references as refs
 from ..operators import skew, snapshots
-from ..session import table
+from ..session import materialise, table
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,10 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return refs.orphan_report(_orphans(spark, d))
 
 
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return refs.orphan_reasons(_orphans(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "sub_record")).select("process_id", "dump_id", "object_id", "change_kind")
 
@@ -80,8 +84,12 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = [table(spark, d, name, "class_id").select(F.lit(name).alias("table_name"), "class_id") for name in ("histogram", "class_diff")]
-    return skew.heavy_keys(rows[0].unionByName(rows[1]), "table_name", "class_id", 0.05).select("table_name", "class_id")
+    """Both tables are reduced to states of their classes and joined; shares are rolled up from the joined states."""
+    tables = [table(spark, d, name, "class_id") for name in ("histogram", "class_diff")]
+    both = materialise(skew.eager_join_aggregate(*tables, ["class_id"], {}, {}, how="full"), "states")
+    sides = F.explode(F.array(*[F.struct(F.lit(name).alias("table_name"), F.col(n).alias("row_count")) for name, n in (("histogram", "left_rows"), ("class_diff", "right_rows"))]))
+    states = both.select("class_id", sides.alias("s")).select("s.table_name", "class_id", "s.row_count").where("row_count > 0")
+    return skew.heavy_states(states, "table_name", "class_id", 0.05).select("table_name", "class_id")
 
 
 _DIFFS = ("count_removed", "count_added", "count_common_unchanged", "count_common_changed")
@@ -105,7 +113,8 @@ def p5_join(spark: SparkSession, d: str) -> DataFrame:
     """Per class the aggregate over all pairs of a histogram row and a class_diff row, formed from states only."""
     histogram, diff = _counters(spark, d)
     sums = {"instance_count": "instance_count", "shallow_bytes": "shallow_bytes"}
-    return skew.eager_join_aggregate(histogram, diff, ["class_id"], sums, {c: c for c in _DIFFS})
+    joined = skew.eager_join_aggregate(histogram, diff, ["class_id"], sums, {c: c for c in _DIFFS})
+    return joined.select(*[c if c in ("class_id", "left_rows", "right_rows") else F.col(c).cast("long").alias(c) for c in joined.columns])
 
 
 def p5_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +123,7 @@ def p5_objects(spark: SparkSession, d: str) -> DataFrame:
     return skew.key_states(objects, ["class_id"], {}).select("class_id", F.col("row_count").alias("objects"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_entries, p2_counts, p3_found, p3_nodes, p3_descendants, p5_found, p5_totals, p5_join, p5_objects)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_reasons, p2_found, p2_entries, p2_counts, p3_found, p3_nodes, p3_descendants, p5_found, p5_totals, p5_join, p5_objects)}
 
 _P1 = """
 with c as (select dump_id, class_id, min(ingested_at) t0, min(dump_ts) ts, any_value(super_class_id) ref, any_value(unloaded_at) gone, any_value(dump_ts) own
@@ -171,6 +180,10 @@ SQL = {
     "p1_report": _P1
     + """select ref_table, strftime(ts at time zone 'UTC', '%Y-%m') "month", count(*) orphan_references, count(*) filter (late) late_references,
          count(distinct (dump_id, missing_id)) missing_keys from f group by 1, 2""",
+    "p1_reasons": _P1
+    + """select ref_table, strftime(ts at time zone 'UTC', '%Y-%m') "month", case when late then 'late'
+         when ref_table <> 'gc_root' and exists (select 1 from c where c.dump_id = f.dump_id and c.class_id = f.missing_id) then 'deleted' else 'missing' end reason, count(*) orphan_references
+         from f group by 1, 2, 3""",
     "p2_found": _P2 + "select process_id, dump_id, object_id, change_kind from e where change_kind <> 'unchanged'",
     "p2_entries": _P2
     + """select process_id, dump_id, object_id, cast(coalesce(tag2, tag1) as int) tag, case when no_a or no_b then change_kind else 'common' end entry,
