@@ -1,26 +1,35 @@
 """Immediate dominators from one virtual root, and retained sizes.
 
-Graphs of up to ``capacity`` references are solved by one task with arrays (semidominators are not needed at that size; a
-fixpoint over reverse post-order is). Larger ones stay distributed: every object's dominator path is the common prefix of
-its referrers' paths, and the common prefix of many paths is that of the smallest and the largest, so a round is one
-join and one aggregation whatever the number of referrers.
+Graphs of up to ``capacity`` objects and references are solved by one task with arrays (a fixpoint over reverse
+post-order). Larger ones are taken apart until every part is that small:
+
+1. An object with one referrer is dominated by it. Such objects form trees; subtrees from which nothing else is referred
+   to are done, and chains without branches are drawn together, so a list of any length is one link (:func:`_reduced`).
+2. What is left is coloured by the roots that reach it, on the heads of these trees only. What one root alone reaches is a
+   region of its own, dominated by that root; objects that several roots reach and that are referred to from such a
+   region have no dominator but the virtual root, and are the roots of the shared rest (:func:`_split`).
+3. Regions of up to ``capacity`` are solved side by side, many to a task; larger ones are taken apart again, with the
+   objects that their root refers to as roots.
+
+Retained sizes are sums over the dominator tree, fragment by fragment; see :func:`heaplake.operators.hierarchy.subtree_sums`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from . import graph
+from ..session import join_few, materialise
 from . import hierarchy as trees
+from .hierarchy import sum_subtrees  # noqa: F401 - used with solve_dominators on arrays
 
-#: Objects and references that one task may hold: some 300 MB of arrays and lists.
-CAPACITY = 5_000_000
+#: Objects and references that one task may hold: some 100 MB of arrays and lists.
+CAPACITY = 1_000_000
+_FOUND = "object_id long, dominator_id long"
 
 
 def solve_dominators(nodes: np.ndarray, source: np.ndarray, target: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,95 +96,156 @@ def solve_dominators(nodes: np.ndarray, source: np.ndarray, target: np.ndarray,
     return ids[reached] if n else reached, np.where(found == top, 0, ids[np.minimum(found, n - 1)]) if n else found
 
 
-def _local(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        kind, a, b = np.array(t.column("kind").to_numpy()), t.column("a").to_numpy(), t.column("b").fill_null(0).to_numpy()
-        at, idom = solve_dominators(a[kind == "node"], a[kind == "edge"], b[kind == "edge"], a[kind == "root"])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(idom, pa.int64())], names=["object_id", "dominator_id"])
+def _region_solver(table: pa.Table) -> pa.Table:
+    """The dominators within some whole regions; what has none there has the region's own object."""
+    kind, region, a, b = (table.column(c).combine_chunks() for c in ("kind", "region", "a", "b"))
+    kind, region, a, b = kind.to_numpy(), region.to_numpy(), a.to_numpy(), b.fill_null(0).to_numpy()
+    node = kind == 0
+    at, idom = solve_dominators(a[node], a[kind == 1], b[kind == 1], a[kind == 2])
+    order = np.argsort(a[node])
+    own = region[node][order][np.searchsorted(a[node][order], at)] if len(at) else at
+    return pa.table({"object_id": pa.array(at, pa.int64()), "dominator_id": pa.array(np.where(idom == 0, own, idom), pa.int64())})
+
+
+def _solved(work: DataFrame, edges: DataFrame, sizes: DataFrame, capacity: int) -> DataFrame:
+    """Regions of up to ``capacity`` each, many to a task; the loads of tasks are counted and none is above ``capacity``."""
+    buckets = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // max(1, capacity // 2)))
+
+    def spot(n: int) -> Column:
+        return F.pmod(F.xxhash64("region", F.lit(n)), F.lit(n))
+
+    while buckets > 1 and (sizes.groupBy(spot(buckets).alias("bucket")).agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0) > max(capacity, 1):
+        buckets *= 2
+    none = F.lit(None).cast("long").alias("b")
+    rows = (
+        work.select(F.lit(0).cast("byte").alias("kind"), "region", F.col("node").alias("a"), none)
+        .unionByName(edges.select(F.lit(1).cast("byte").alias("kind"), "region", "a", "b"))
+        .unionByName(work.where("root").select(F.lit(2).cast("byte").alias("kind"), "region", F.col("node").alias("a"), none))
+    )
+    return rows.groupBy(spot(buckets).alias("bucket")).applyInArrow(_region_solver, _FOUND)
+
+
+def _forest(work: DataFrame, edges: DataFrame) -> DataFrame:
+    """``work`` with ``only`` (the one referrer of what isn't a root) and ``shared`` (several referrers)."""
+    referrers = edges.groupBy("region", F.col("b").alias("node")).agg(F.count("*").alias("n"), F.min("a").alias("a"))
+    one = ~F.col("root") & (F.col("n") == 1)
+    return work.join(referrers, ["region", "node"], "left").select("region", "node", "root", F.when(one, F.col("a")).alias("only"), (~F.col("root") & F.coalesce(F.col("n") > 1, F.lit(False))).alias("shared"))
+
 
-    return rows.coalesce(1).mapInArrow(run, "object_id long, dominator_id long")
+def _tops(rows: DataFrame, parent: str, out: str) -> DataFrame:
+    """region, node and the last node upward along ``parent``; nodes on circles are left out (nothing leads there)."""
+    linked = rows.select(F.lit("heads").alias("tree"), F.col("region").alias("grp"), "node", F.col(parent).alias("parent"), F.lit(None).cast("timestamp").alias("delivered"))
+    return trees.hierarchy(linked).where("root is not null").select(F.col("grp").alias("region"), "node", F.col("root").alias(out))
 
 
-def _distributed(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    reached = graph.reachable(edges.select(F.col("b").alias("to_object_id"), F.col("a").alias("from_object_id")), roots.select(F.col("a").alias("object_id")), nodes.select(F.col("a").alias("object_id")))
-    start = graph.paths_to_roots(reached)  # any path from a root holds all dominators
-    fixed = roots.select(F.col("a").alias("object_id")).distinct()
-    live = materialise(edges.join(start.select(F.col("object_id").alias("a")), "a", "left_semi").join(fixed.select(F.col("object_id").alias("b")), "b", "left_anti").distinct(), "live")
-    paths = materialise(start.join(fixed.withColumn("_r", F.lit(True)), "object_id", "left").withColumn("path", F.when(F.col("_r"), F.array("object_id")).otherwise(F.col("path"))).drop("_r"), "paths")
+def _reduced(work: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A smaller graph with the same dominators of shared objects, and region, node, only and top of all with one referrer.
+
+    Kept are roots, shared objects, and in the trees of objects with one referrer those that refer to shared objects or
+    are the last that lead to several of them.
+    """
+    forest = materialise(_forest(work, edges), "forest")
+    shared = forest.where("shared").select("region", F.col("node").alias("b"))
+    crossing = materialise(edges.join(shared, ["region", "b"], "left_semi").select("region", "a", "b"), "crossing")
+    exits = crossing.select("region", F.col("a").alias("node")).distinct().withColumn("exit", F.lit(True))
+    weighed = materialise(forest.join(exits, ["region", "node"], "left").withColumn("exit", F.coalesce("exit", F.lit(False))), "exits")
+    below = trees.subtree_sums(weighed.select(F.lit("exits").alias("tree"), F.col("region").alias("grp"), "node", F.col("only").alias("parent"), F.col("exit").cast("long").alias("weight")))
+    below = below.select(F.col("grp").alias("region"), "node", "total")
+    kept = materialise(weighed.join(below, ["region", "node"]).where("root or shared or (only is not null and total > 0)").drop("total"), "kept")
+    branches = kept.where("only is not null").groupBy("region", F.col("only").alias("node")).agg(F.count("*").alias("branches"))
+    marked = kept.join(branches, ["region", "node"], "left").withColumn("passing", F.col("only").isNotNull() & ~F.col("exit") & (F.coalesce("branches", F.lit(0)) == 1))
+    marked = materialise(marked.withColumn("next", F.when(F.col("passing"), F.col("only"))), "marked")
+    nearest = _tops(marked, "next", "above").select("region", F.col("node").alias("only"), "above")
+    links = marked.where("only is not null and not passing").join(nearest, ["region", "only"]).select("region", F.col("above").alias("a"), F.col("node").alias("b"))
+    single = forest.where("only is not null").join(_tops(forest, "only", "top"), ["region", "node"]).select("region", "node", "only", "top")
+    return marked.where("not passing").select("region", "node", "root"), crossing.unionByName(links), single
+
+
+def _split(work: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions one level further apart: the next objects and references, and the dominators of the roots."""
+    forest = materialise(_forest(work, edges), "forest")
+    tops = materialise(_tops(forest, "only", "top"), "tops")
+    shared = forest.where("shared").select("region", F.col("node").alias("b"))
+    between = edges.join(shared, ["region", "b"], "left_semi").join(tops.select("region", F.col("node").alias("a"), "top"), ["region", "a"])
+    between = materialise(between.where("top <> b").select("region", "top", "b").distinct(), "between")
+
+    # colours of the heads: the root that reaches one, or several; a colour changes twice at most
+    front = materialise(work.where("root").select("region", F.col("node").alias("top"), F.col("node").alias("colour"), F.lit(False).alias("several")), "colours")
+    seen = front
+    while front.limit(1).count():
+        sent = join_few(between, front, ["region", "top"]).groupBy("region", F.col("b").alias("top")).agg(F.min("colour").alias("colour"), F.max("colour").alias("_most"), F.max("several").alias("_several"))
+        sent = sent.select("region", "top", "colour", (F.col("_several") | (F.col("colour") != F.col("_most"))).alias("several"))
+        held = seen.select("region", "top", F.col("colour").alias("_own"), F.col("several").alias("_had"))
+        news = sent.join(held, ["region", "top"], "left").where("_own is null or (not _had and (several or colour <> _own))")
+        front = materialise(news.select("region", "top", "colour", (F.col("several") | F.coalesce(F.col("colour") != F.col("_own"), F.lit(False))).alias("several")), "front")
+        seen = materialise(seen.join(front, ["region", "top"], "left_anti").unionByName(front), "colours")
+
+    state = work.join(tops, ["region", "node"]).join(seen, ["region", "top"]).select("region", "node", "root", F.when(~F.col("several"), F.col("colour")).alias("colour"))
+    state = materialise(state, "state")
+    there = edges.join(state.where("not root").select("region", F.col("node").alias("b"), F.col("colour").alias("cb")), ["region", "b"])
+    there = there.join(state.select("region", F.col("node").alias("a"), F.col("colour").alias("ca")), ["region", "a"])
+    home = F.coalesce("cb", "region")
+    enters = F.when(F.col("cb").isNull(), F.col("ca").isNotNull()).otherwise(F.col("a") == F.col("cb"))
+    there = materialise(there.select(home.alias("region"), "a", "b", enters.alias("enters")), "inside")
+    entered = there.where("enters").select("region", F.col("b").alias("node")).distinct().withColumn("root", F.lit(True))
+    following = state.where("not root").select(F.coalesce("colour", "region").alias("region"), "node").join(entered, ["region", "node"], "left")
+    done = state.where("root").select(F.col("node").alias("object_id"), F.col("region").alias("dominator_id"))
+    return following.withColumn("root", F.coalesce("root", F.lit(False))), there.where("not enters").select("region", "a", "b"), done
+
+
+def _divided(work: DataFrame, edges: DataFrame, capacity: int) -> DataFrame:
+    """The dominators of all regions; every round takes the regions above ``capacity`` one level further apart."""
+    found = []
     while True:
-        ends = live.join(paths.select(F.col("object_id").alias("a"), "path"), "a").groupBy(F.col("b").alias("object_id")).agg(F.min("path").alias("lo"), F.max("path").alias("hi"))
-        # the common prefix: where the two paths first differ
-        width = F.least(F.size("lo"), F.size("hi"))
-        same = F.expr("filter(sequence(1, least(size(lo), size(hi))), i -> lo[i - 1] <> hi[i - 1])")
-        prefix = F.slice("lo", F.lit(1), F.when(F.size(same) > 0, F.element_at(same, 1) - 1).otherwise(width))
-        new = ends.select("object_id", F.concat(prefix, F.array("object_id")).alias("new"))
-        step = materialise(paths.join(new, "object_id", "left").select("object_id", F.coalesce("new", "path").alias("path"), (F.col("new").isNotNull() & (F.col("new") != F.col("path"))).alias("moved")), "paths")
-        paths = step.drop("moved")
-        if not step.where("moved").limit(1).count():
-            return paths.select("object_id", F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(0).alias("dominator_id"))
+        roots = work.where("root").select("region", F.col("node").alias("b"))
+        work, edges = materialise(work, "work"), materialise(edges.join(roots, ["region", "b"], "left_anti").select("region", "a", "b"), "inner")
+        sizes = work.groupBy("region").count().unionByName(edges.groupBy("region").count()).groupBy("region").agg(F.sum("count").alias("size"))
+        sizes = materialise(sizes, "sizes")
+        large = sizes.where(F.col("size") > capacity).select("region")
+        if not large.limit(1).count():
+            return reduce(DataFrame.unionByName, [*found, _solved(work, edges, sizes, capacity)])
+        few = [join_few(df, large, ["region"], "left_anti") for df in (work, edges)]
+        found.append(materialise(_solved(*few, sizes.where(F.col("size") <= capacity), capacity), "regions"))
+        work, edges, done = _split(*[join_few(df, large, ["region"], "left_semi") for df in (work, edges)])
+        found.append(done)
 
 
 def dominators(nodes: DataFrame, refs: DataFrame, gc_root: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """object_id and dominator_id of every object that the roots reach; 0 for roots and for what several roots share.
 
     ``nodes``: object_id (repeats allowed). References from or to objects that aren't there are left out. With more than
-    ``capacity`` references and objects the graph is solved distributed.
+    ``capacity`` references and objects the graph is taken apart, and no task holds more than that of it. Rounds then grow
+    with the depth of shared objects among the heads, not with chains; a region that stays above ``capacity`` (one circle
+    of mutual references that large) loses only its roots in a round.
     """
-    node = nodes.select(F.col("object_id").alias("a")).distinct()
+    node = nodes.select(F.col("object_id").alias("node")).distinct()
+    known = materialise(node.join(gc_root.select(F.col("object_id").alias("node"), F.lit(True).alias("root")).distinct(), "node", "left").select(F.lit(0).cast("long").alias("region"), "node", F.coalesce("root", F.lit(False)).alias("root")), "objects")
     edge = refs.select(F.col("from_object_id").alias("a"), F.col("to_object_id").alias("b")).where("a <> b").distinct()
-    edge = edge.join(node, "a", "left_semi").join(node.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b")
-    root = gc_root.select(F.col("object_id").alias("a")).distinct().join(node, "a", "left_semi")
-    none = F.lit(None).cast("long").alias("b")
-    tagged = node.select(F.lit("node").alias("kind"), "a", none).unionByName(edge.select(F.lit("edge").alias("kind"), "a", "b")).unionByName(root.select(F.lit("root").alias("kind"), "a", none))
-    rows = materialise(tagged, "graph")
-    if rows.count() <= capacity:
-        return _local(rows)
-    return _distributed(rows.where("kind = 'node'"), rows.where("kind = 'edge'").select("a", "b"), rows.where("kind = 'root'").select("a"))
-
-
-def sum_subtrees(parent: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Each node's weight and those of all nodes below it. ``parent``: places, -1 at roots. Nodes on circles keep their own."""
-    total, waiting = weight.astype("int64"), np.bincount(parent[parent >= 0], minlength=len(parent))
-    ready = np.flatnonzero(waiting == 0)
-    while len(ready):
-        above = parent[ready]
-        ready, above = ready[above >= 0], above[above >= 0]
-        np.add.at(total, above, total[ready])
-        np.subtract.at(waiting, above, 1)
-        above = np.unique(above)
-        ready = above[waiting[above] == 0]
-    return total
+    inner = edge.join(known.where("not root").select(F.col("node").alias("b")), "b", "left_semi").join(known.select(F.col("node").alias("a")), "a", "left_semi")
+    edges = materialise(inner.select(F.lit(0).cast("long").alias("region"), "a", "b"), "references")  # a root needs no dominator, so what refers to it doesn't count
+    size = known.count() + edges.count()
+    if size <= capacity:
+        return _solved(known, edges, known.sparkSession.createDataFrame([(0, size)], "region long, size long"), capacity)
+    work, links, single = _reduced(known, edges)
+    found = materialise(_divided(work, links, capacity), "dominators")
+    # of the smaller graph only what is shared or a root counts: who has one referrer is dominated by it, if its tree is reached
+    first = known.where("root").select(F.col("node").alias("top")).unionByName(found.select(F.col("object_id").alias("top"))).distinct()
+    own = found.join(single.select(F.col("node").alias("object_id")), "object_id", "left_anti")
+    return own.unionByName(single.join(first, "top", "left_semi").select(F.col("node").alias("object_id"), F.col("only").alias("dominator_id")))
 
 
 def retained_sizes(idom: DataFrame, shallow: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """object_id and retained_bytes: the shallow bytes of everything that an object dominates, itself included.
 
-    One task adds up trees of up to ``capacity`` objects, whatever their depth; larger ones are added along their paths.
+    Trees above ``capacity`` are added up fragment by fragment, with work linear in the objects whatever their depth.
     """
     sizes = shallow.groupBy("object_id").agg(F.min("shallow").alias("shallow"))
-    rows = materialise(idom.select("object_id", "dominator_id").join(sizes, "object_id", "left").withColumn("shallow", F.coalesce("shallow", F.lit(0))), "owned")
-    if rows.count() <= capacity:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = list(batches)
-            if not held:
-                return
-            t = pa.Table.from_batches(held)
-            ids, up, size = (t.column(i).to_numpy() for i in range(3))
-            order = np.argsort(ids)
-            at = np.minimum(np.searchsorted(ids[order], up), len(ids) - 1)
-            parent = np.where((up != 0) & (ids[order][at] == up), order[at], -1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sum_subtrees(parent, size), pa.int64())], names=["object_id", "retained_bytes"])
-
-        return rows.coalesce(1).mapInArrow(run, "object_id long, retained_bytes long")
-    linked = rows.withColumns({"_g": F.lit(0), "_d": F.lit(None).cast("timestamp")})
-    solved = trees.hierarchy(trees.links(linked, "dominators", "_g", "object_id", "dominator_id", "_d"), paths=True)
-    owned = solved.select("node", F.explode("path").alias("object_id")).join(rows.select(F.col("object_id").alias("node"), "shallow"), "node")
-    return owned.groupBy("object_id").agg(F.sum("shallow").alias("retained_bytes"))
+    rows = idom.select("object_id", "dominator_id").join(sizes, "object_id", "left").select(
+        F.lit("dominators").alias("tree"), F.lit(0).cast("long").alias("grp"), F.col("object_id").alias("node"), F.nullif("dominator_id", F.lit(0).cast("long")).alias("parent"),
+        F.coalesce("shallow", F.lit(0).cast("long")).alias("weight"),
+    )
+    sums = trees.subtree_sums(materialise(rows, "owned"), max(8, capacity))
+    return sums.select(F.col("node").alias("object_id"), F.col("total").alias("retained_bytes"))
 
 
 def dominatees(idom: DataFrame, retained: DataFrame, object_id: int) -> DataFrame:

@@ -249,3 +249,30 @@ def test_products_beyond_64_bits(spark):
     right = spark.range(50).select(F.lit(1).alias("k"))
     row = skew.eager_join_aggregate(left, right, ["k"], {"a": "a"}, {}).first()
     assert (row["pair_count"], row["a"]) == (150, 150 * 2**61)
+
+
+@pytest.mark.parametrize("capacity", [10**6, 60])
+def test_subtree_sums(spark, capacity):
+    rng = random.Random(3)
+    up = {1: {i: max(0, i - rng.choice([1, 1, 1, 7, 40])) for i in range(1, 500)}, 2: {i: 1 if i > 1 else 0 for i in range(1, 300)}, 3: {5: 4}}
+    rows = [(g, n, p or None, n * 10**6) for g, links in up.items() for n, p in links.items()]
+    df = spark.createDataFrame(rows, "grp long, node long, parent long, weight long").withColumn("tree", F.lit("t"))
+    want = {(g, n): n * 10**6 for g, n, *_ in rows}
+    for g, links in up.items():
+        for n in links:
+            p = links[n]
+            while p in links:
+                want[g, p] += n * 10**6
+                p = links[p]
+    assert {(r["grp"], r["node"]): r["total"] for r in trees.subtree_sums(df, capacity).collect()} == want
+    assert trees.subtree_sums(df.where("false"), capacity).count() == 0
+
+
+def test_a_star_and_a_million_links(spark):
+    star = [(1, i, 1 if i > 1 else 0, 1) for i in range(1, 400)] + [(1, 1000 + i, i, 1) for i in range(1, 400)]
+    got = solve(spark, star, capacity=80, paths=True)
+    assert got[1, 1399]["path"] == [1399, 399, 1] and len(got) == len(star)
+    chain = spark.range(1, 1_000_001).select(F.lit("t").alias("tree"), F.lit(1).cast("long").alias("grp"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit(None).cast("timestamp").alias("delivered"))
+    with pytest.raises(ValueError, match="max_path_values"):
+        trees.hierarchy(chain, paths=True)
+    assert trees.hierarchy(chain).agg(F.max("depth"), F.countDistinct("root")).first()[:] == (999_999, 1)
