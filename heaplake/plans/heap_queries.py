@@ -15,7 +15,6 @@ from ..sources.export import export_hprof
 from . import relational_heap as R
 
 K = R.K
-JANUARY = ("1998-01-01", "1998-02-01")
 
 
 def _heap(spark: SparkSession, d: str) -> R.Heap:
@@ -118,14 +117,6 @@ def instance_fields(spark, d):
     return rows.select("object_id", F.col("ord").cast("long").alias("ord"), "name", F.col("value.ref_id").alias("ref_id"), F.col("value.i").alias("i"), F.col("value.d").alias("d"))
 
 
-def resolved_instances(spark, d):
-    h = _heap(spark, d)
-    suppliers = stats.instances_of(h["instance"], h.names, "shop.Supplier")
-    rows = resolve.resolved_instances(resolve.instance_fields(suppliers, h.layout), h.names)
-    value = F.transform("fields", lambda f: F.coalesce(f["value"]["i"].cast("double"), f["value"]["d"]))
-    return rows.select("object_id", "class_name", F.array_join(F.transform("fields", lambda f: f["name"]), ",").alias("field_names"), value[0].alias("suppkey"), value[1].alias("acctbal"))
-
-
 def java_strings(spark, d):
     return _heap(spark, d).strings
 
@@ -150,34 +141,24 @@ def declared_fields(spark, d):
     return resolve.declared_fields(h["class_dump"], h["utf8_name"]).groupBy("type_name").agg(F.count("*").alias("fields"))
 
 
-def obj_array_elements(spark, d):
-    rows = resolve.array_elements(_heap(spark, d)["obj_array"].where(F.col("element_class_id") == R.class_id(5)))
-    return rows.select("array_id", F.col("pos").cast("long").alias("pos"), "element_id")
-
-
-def prim_array_decode(spark, d):
-    rows = resolve.prim_elements(_heap(spark, d)["prim_array"].where("element_type = 6"))
-    return rows.select("array_id", F.col("pos").cast("long").alias("pos"), F.col("value.d").alias("d"))
-
-
 def resolved_roots(spark, d):
     h = _heap(spark, d)
     return resolve.resolved_roots(h["gc_root"], h.types, h.names).select("root_type", "object_id", "resolved_name")
 
 
-def resolved_instances_whole(spark, d):
+def resolved_instances(spark, d):
     """The fields of every resolved instance, of whatever class, one row each."""
     h = _heap(spark, d)
     rows = resolve.resolved_instances(h.fields, h.names).select("object_id", "class_name", F.explode("fields").alias("f"))
     return rows.select("object_id", "class_name", F.col("f.ord").cast("long").alias("ord"), F.col("f.name").alias("name"), F.col("f.value.ref_id").alias("ref_id"), F.col("f.value.i").alias("i"), F.col("f.value.d").alias("d"))
 
 
-def obj_array_elements_whole(spark, d):
+def obj_array_elements(spark, d):
     rows = resolve.array_elements(_heap(spark, d)["obj_array"])
     return rows.select("array_id", F.col("pos").cast("long").alias("pos"), "element_id")
 
 
-def prim_array_decode_whole(spark, d):
+def prim_array_decode(spark, d):
     """Every element of every primitive array: bytes and UTF-16 code units in ``i``, floats in ``d``."""
     rows = resolve.prim_elements(_heap(spark, d)["prim_array"])
     return rows.select("array_id", F.col("element_type").cast("int").alias("element_type"), F.col("pos").cast("long").alias("pos"), F.col("value.i").alias("i"), F.col("value.d").alias("d"))
@@ -220,12 +201,6 @@ def roots_by_type_page(spark, d):
 
 
 def is_gc_root(spark, d):
-    h = _heap(spark, d)
-    nations = stats.instances_of(h["instance"], h.names, "shop.Nation").select("object_id")
-    return stats.is_root(nations, "object_id", h["gc_root"])
-
-
-def is_gc_root_whole(spark, d):
     h = _heap(spark, d)
     return stats.is_root(h.shallow.select("object_id"), "object_id", h["gc_root"])
 
@@ -258,59 +233,31 @@ def paths_all(spark, d):
     h = _heap(spark, d)
     reached = graph.reachable(h.refs, h["gc_root"], h.shallow.select("object_id"))
     paths = graph.paths_to_roots(reached)
-    return paths.select("object_id", (F.size("path") - 1).cast("long").alias("hops"))
+    return paths.select("object_id", (F.size("path") - 1).cast("long").alias("hops"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 # --- dominators ----------------------------------------------------------------------------------------------------
 
 
-def _january(spark: SparkSession, d: str) -> tuple[R.Heap, DataFrame]:
-    h = R.shop_heap(spark, d, *JANUARY)
-    return h, h.dominator
-
-
 def dominators(spark, d):
-    return _january(spark, d)[1]
-
-
-def dominators_distributed(spark, d):
-    """The same graph by the distributed solver, as if it were too large for one task."""
-    h = R.shop_heap(spark, d, *JANUARY)
-    return dom.dominators(h.shallow.select("object_id"), h.refs, h["gc_root"], capacity=0)
-
-
-def retained_sizes(spark, d):
-    return _january(spark, d)[0].retained
-
-
-def retained_topk(spark, d):
-    return dom.top_retained(_january(spark, d)[0].retained)
-
-
-def dominatees(spark, d):
-    h, idom = _january(spark, d)
-    return dom.dominatees(idom, h.retained, 1 * K + 1)
-
-
-def dominators_whole(spark, d):
-    """Of all tables; the queries above take the orders of one month."""
     return _heap(spark, d).dominator
 
 
-def dominators_distributed_whole(spark, d):
+def dominators_distributed(spark, d):
+    """The same graph taken apart, as if it were too large for one task."""
     h = _heap(spark, d)
-    return dom.dominators(h.shallow.select("object_id"), h.refs, h["gc_root"], capacity=0)
+    return dom.dominators(h.shallow.select("object_id"), h.refs, h["gc_root"], capacity=10_000)
 
 
-def retained_sizes_whole(spark, d):
+def retained_sizes(spark, d):
     return _heap(spark, d).retained
 
 
-def retained_topk_whole(spark, d):
+def retained_topk(spark, d):
     return dom.top_retained(_heap(spark, d).retained)
 
 
-def dominatees_whole(spark, d):
+def dominatees(spark, d):
     h = _heap(spark, d)
     return dom.dominatees(h.dominator, h.retained, 1 * K + 1)
 
@@ -323,12 +270,8 @@ def _two(spark: SparkSession, d: str) -> tuple[R.Heap, R.Heap]:
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
-    sides = []
-    for h in _two(spark, d):
-        kept = h["instance"].where(F.col("class_id").isin(R.class_id(4), R.class_id(5)))
-        arrays = h["obj_array"].where(F.col("element_class_id") == R.class_id(5))
-        sides.append(dumpdiff.comparable(kept, arrays, h["prim_array"].where("element_type = 6"), h["class_dump"]))
-    return dumpdiff.compare(*sides)
+    """All objects of both dumps."""
+    return dumpdiff.compare(*[dumpdiff.comparable(h["instance"], h["obj_array"], h["prim_array"], h["class_dump"]) for h in _two(spark, d)])
 
 
 def diff_entries(spark, d):
@@ -360,36 +303,6 @@ def address_reuse(spark, d):
     return _entries(spark, d).where("address_reused").select("object_id")
 
 
-def _entries_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All objects of both dumps; :func:`_entries` takes orders, lines, their arrays and float arrays."""
-    return dumpdiff.compare(*[dumpdiff.comparable(h["instance"], h["obj_array"], h["prim_array"], h["class_dump"]) for h in _two(spark, d)])
-
-
-def diff_entries_whole(spark, d):
-    return _entries_whole(spark, d).select("object_id", "entry", "changed", F.col("tag").cast("int").alias("tag"), "class_key")
-
-
-def diff_by_class_whole(spark, d):
-    names = R.shop_heap(spark, d).names
-    return dumpdiff.by_class(_entries_whole(spark, d), names, names)
-
-
-def diff_top_whole(spark, d):
-    return dumpdiff.most_changed(diff_by_class_whole(spark, d), 3).select("class_name", "count_added", "count_removed")
-
-
-def diff_net_topk_whole(spark, d):
-    return dumpdiff.largest_net(diff_by_class_whole(spark, d), 3).select("class_name", "net_change")
-
-
-def diff_totals_whole(spark, d):
-    return dumpdiff.totals(diff_by_class_whole(spark, d))
-
-
-def address_reuse_whole(spark, d):
-    return _entries_whole(spark, d).where("address_reused").select("object_id")
-
-
 # --- threads -------------------------------------------------------------------------------------------------------
 
 
@@ -464,9 +377,6 @@ _FUNCTIONS = (
     wrapper_values, static_fields, declared_fields, obj_array_elements, prim_array_decode, resolved_roots, array_sizes, largest_arrays, top5_per_kind, obj_arrays_by_length, array_counts,
     root_summary, roots_by_type_page, is_gc_root, root_types_of, references, ref_count_by_kind, referrers_top50, path_to_root, paths_all, dominators, dominators_distributed, retained_sizes, retained_topk,
     dominatees, diff_entries, diff_changed, diff_by_class, diff_top, diff_net_topk, diff_totals, address_reuse, thread_list, frame_resolution, frame_classes, thread_stacks, thread_names_from_heap, size_texts,
-    dominators_whole, dominators_distributed_whole, retained_sizes_whole, retained_topk_whole, dominatees_whole,
-    diff_entries_whole, diff_by_class_whole, diff_top_whole, diff_net_topk_whole, diff_totals_whole, address_reuse_whole,
-    resolved_instances_whole, obj_array_elements_whole, prim_array_decode_whole, is_gc_root_whole,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -567,7 +477,6 @@ def _layout_rows() -> list[tuple]:
     return rows
 
 
-_J = _base(f"o_orderdate >= timestamp '{JANUARY[0]}' and o_orderdate < timestamp '{JANUARY[1]}'")
 _IDOM = f""",
      lc as (select li.*, o.o_custkey, c.c_nationkey, n.n_regionkey from li join ords o on o.o_orderkey = li.l_orderkey join customer c on c.c_custkey = o.o_custkey join nation n on n.n_nationkey = c.c_nationkey),
      shared as (select 6 kind, l_partkey key, * from lc union all select 7, l_suppkey, * from lc),
@@ -585,31 +494,6 @@ _IDOM = f""",
      ret as (select above object_id, cast(sum(o.shallow) as bigint) retained_bytes from chain c join (select id, min(shallow) shallow from obj group by 1) o using (id) group by 1)
 """
 
-_DIFF = f"""
-with li as ({_LINE}),
-     o1 as (select o_orderkey k from orders where o_orderdate < timestamp '1997-01-01'), o2 as (select o_orderkey k from orders where o_orderdate >= timestamp '1995-01-01'),
-     cls(id) as (select unnest(generate_series({_C}::bigint, {_C + len(R.CLASSES) - 1}::bigint))),
-     a(id, tag, key, size, pay) as (
-       select {4 * K}::bigint + k, 33, {_C + 4}::bigint, 24, '' from o1 union all select id, 33, {_C + 5}, 32, l_quantity::varchar from li join o1 on k = l_orderkey
-       union all select {19 * K}::bigint + k, 34, (-9223372036854775808)::bigint + {_C + 5}, (select count(*) from li where l_orderkey = k), '' from o1
-       union all select {21 * K}::bigint + vec_id, 35, (-4611686018427387904)::bigint + 6, 64, '' from embeddings union all select id, 32, id, 0, '' from cls),
-     b(id, tag, key, size, pay) as (
-       select {4 * K}::bigint + k, 33, {_C + 4}::bigint, 24, '' from o2 union all select id, 33, {_C + 5}, 32, (l_quantity + case when l_partkey % 10 = 0 then 1 else 0 end)::varchar from li join o2 on k = l_orderkey
-       union all select {19 * K}::bigint + k, 34, (-9223372036854775808)::bigint + {_C + 5}, (select count(*) from li where l_orderkey = k), '' from o2
-       union all select {21 * K}::bigint + vec_id, 35, (-4611686018427387904)::bigint + 6, case when vec_id % 9 = 0 then 32 else 64 end, case when vec_id % 9 = 0 then 'short' else '' end from embeddings union all select id, 32, id, 0, '' from cls),
-     e as (select coalesce(a.id, b.id) object_id, case when b.id is null then 'removed' when a.id is null then 'added' else 'common' end entry,
-                  case when a.id is not null and b.id is not null then a.tag <> b.tag or a.pay <> b.pay end changed, coalesce(a.tag, b.tag) tag, coalesce(a.key, b.key) class_key, a.size is distinct from b.size and a.id is not null and b.id is not null reused
-             from a full join b on b.id = a.id),
-     names(class_id, class_name, super_id) as (values {_NAMES}),
-     g as (select class_key class_id, count(*) filter (entry = 'removed') count_removed, count(*) filter (entry = 'added') count_added,
-                  count(*) filter (entry = 'common' and not changed) count_common_unchanged, count(*) filter (entry = 'common' and changed) count_common_changed from e group by 1),
-     c as (select g.class_id, coalesce(n.class_name, m.class_name || '[]', 'float[]') class_name, count_removed, count_added, count_common_unchanged, count_common_changed,
-                  count_common_unchanged + count_common_changed count_common, count_removed + count_common_unchanged + count_common_changed count_before,
-                  count_added + count_common_unchanged + count_common_changed count_after, count_added - count_removed net_change
-             from g left join names n on n.class_id = g.class_id left join names m on (-9223372036854775808)::bigint + m.class_id = g.class_id)
-"""
-
-
 def _side(name: str, orders: str, bumped: bool) -> str:
     """Common tables of all objects of one dump: what the other one is compared with."""
     o, array, prim = f"{name}_o", -(1 << 63), -(1 << 62)
@@ -634,7 +518,7 @@ def _side(name: str, orders: str, bumped: bool) -> str:
     return f"{o} as (select o_orderkey k from orders where {orders}), {name}(id, tag, key, size, pay) as ({' union all '.join(parts)})"
 
 
-_DIFF_WHOLE = f"""
+_DIFF = f"""
 with names(class_id, class_name, super_id) as (values {_NAMES}), li as ({_LINE}),
      {_side("a", "o_orderdate < timestamp '1997-01-01'", False)},
      {_side("b", "o_orderdate >= timestamp '1995-01-01'", True)},
@@ -678,14 +562,11 @@ SQL = {
     "class_layout": _values(_layout_rows(), 'class_id, ord, "name", type_code, "offset"').replace("select *", 'select class_id, ord, "name", type_code::int type_code, "offset"'),
     "class_closure": _values([(_C + o, h, _C + a) for o, chain in _chains().items() for h, a in enumerate(chain)], "class_id, hop, ancestor_id"),
     "instance_fields": f"with li as ({_LINE}) " + _FIELDS,
-    "resolved_instances": f"select {7 * K}::bigint + s_suppkey object_id, 'shop.Supplier' class_name, 'suppkey,acctbal' field_names, s_suppkey::double suppkey, s_acctbal acctbal from supplier",
     "java_strings": f"select {8 * K}::bigint + p_partkey object_id, p_name \"text\" from part",
     "find_strings": f"select {8 * K}::bigint + p_partkey object_id, p_name \"text\" from part where p_name like '%r%'",
     "wrapper_values": f"select {9 * K}::bigint + p_partkey object_id, 'int' kind, p_size::bigint i, null::double d from part union all select {10 * K}::bigint + s_suppkey, 'double', null, s_acctbal from supplier",
     "static_fields": _values([(_C + o, n, v if c == 2 else None, None if c == 2 else v) for o, (_, _, _, statics) in R.CLASSES.items() for n, c, v in statics], 'class_id, "name", ref_id, i'),
     "declared_fields": _values([(t, sum(1 for _, _, f, _ in R.CLASSES.values() for _, c in f if c == k)) for k, t in ((2, "Object"), (7, "double"), (8, "byte"), (10, "int"), (11, "long"))], "type_name, fields"),
-    "obj_array_elements": _H + f"select arr array_id, pos, el element_id from elems where arr // {K} = 19",
-    "prim_array_decode": f"select {21 * K}::bigint + vec_id array_id, unnest(generate_series(0, len(embedding) - 1)) pos, unnest(embedding)::double d from embeddings",
     "resolved_roots": _H
     + "select root_type, id object_id, case root_type when 'sticky_class' then (select class_name from names where class_id = id) when 'unknown' then 'float[]' when 'jni_global' then 'shop.Region' else 'shop.Nation' end resolved_name from roots",
     "array_sizes": _H + _SIZES,
@@ -697,7 +578,6 @@ SQL = {
     + "select t.root_type, label, count(id) roots from (values ('unknown','Unknown'),('jni_global','JNI global'),('jni_local','JNI local'),('java_frame','Java frame'),('native_stack','Native stack'),('sticky_class','Sticky class'),"
     + "('thread_block','Thread block'),('monitor_used','Monitor used'),('thread_object','Thread object')) t(root_type, label) left join roots using (root_type) group by 1, 2",
     "roots_by_type_page": _H + 'select root_type, row_number() over (partition by root_type order by id) "rank", id object_id, count(*) over (partition by root_type) total from roots qualify "rank" <= 50',
-    "is_gc_root": f"select {2 * K}::bigint + n_nationkey object_id, n_nationkey % 7 = 0 is_root from nation",
     "root_types_of": _H + "select id object_id, root_type root_types from roots",
     "references": _H + "select to_id to_object_id, from_id from_object_id, kind from refs",
     "ref_count_by_kind": _H + "select kind, count(*) refs from refs group by 1",
@@ -708,19 +588,15 @@ SQL = {
          union all select 3, {17 * K}::bigint + c_nationkey from o union all select 4, {2 * K}::bigint + c_nationkey from o
          union all select 5, {16 * K}::bigint + n_regionkey from o where n_nationkey % 7 <> 0 union all select 6, {K}::bigint + n_regionkey from o where n_nationkey % 7 <> 0)
        select 'Found' status, row_number() over (order by step desc) - 1 pos, object_id from p""",
-    "paths_all": _H + ", walk(id, h) as (select id, 0::bigint from roots union select to_id, h + 1 from walk join (select distinct to_id, from_id from refs) r on r.from_id = walk.id where h < 14) select id object_id, min(h) hops from walk group by 1",
-    "dominators": _J + _IDOM + "select id object_id, up dominator_id from idom",
-    "dominators_distributed": _J + _IDOM + "select id object_id, up dominator_id from idom",
-    "retained_sizes": _J + _IDOM + "select * from ret",
-    "retained_topk": _J + _IDOM + "select * from ret order by retained_bytes desc, object_id limit 50",
-    "dominatees": _J + _IDOM + f"select object_id, retained_bytes from ret join idom on id = object_id where up = {K + 1}",
-    "diff_entries": _DIFF + "select object_id, entry, changed, tag, class_key from e",
+    "paths_all": _H
+    + """, pairs as materialized (select distinct to_id, from_id from refs),
+       walk(id, h) as (select id, 0::bigint from roots union select to_id, h + 1 from walk join pairs on from_id = walk.id where h < 14),
+       near as materialized (select id, min(h) hops from walk group by 1),
+       ends as materialized (select to_id, from_id, hops - 1 before from pairs join near on id = to_id),
+       above as materialized (select to_id id, min(from_id) up from ends join near on id = from_id and hops = before group by 1),
+       way(id, hops, path) as (select id, hops, id::varchar from near where hops = 0 union all select a.id, w.hops + 1, w.path || '>' || a.id from way w join above a on a.up = w.id)
+       select id object_id, hops, path from way""",
     "diff_changed": _DIFF + f"select object_id from e where entry = 'common' and changed and class_key = {_C + 5}",
-    "diff_by_class": _DIFF + "select * from c",
-    "diff_top": _DIFF + "select class_name, count_added, count_removed from c order by count_added + count_removed desc, class_name, class_id limit 3",
-    "diff_net_topk": _DIFF + "select class_name, net_change from c order by abs(net_change) desc, class_name, class_id limit 3",
-    "diff_totals": _DIFF + "select " + ", ".join(f"cast(sum({x}) as bigint) {x}" for x in ("count_removed", "count_added", "count_common_unchanged", "count_common_changed", "count_common")) + " from c",
-    "address_reuse": _DIFF + "select object_id from e where reused",
     "thread_list": _EVENTS + "select user_id thread_serial, 'user-' || user_id thread_name, '' thread_group_name, case when event_type = 'error' then 'ended' else 'running' end status from e where rn = 1",
     "frame_resolution": _EVENTS
     + "select event_id frame_id, event_type method_name, '' method_signature, case event_type when 'view' then 'line' when 'click' then 'none' when 'signup' then 'unknown' when 'purchase' then 'compiled' else 'native' end line_kind, "
@@ -734,18 +610,23 @@ SQL = {
 }
 SQL |= {f"hprof_{n}": SQL[n] for n in ("class_histogram", "instance_fields", "java_strings", "references", "resolved_roots")}
 SQL |= {
-    "dominators_whole": _H + _IDOM + "select id object_id, up dominator_id from idom",
-    "dominators_distributed_whole": _H + _IDOM + "select id object_id, up dominator_id from idom",
-    "retained_sizes_whole": _H + _IDOM + "select * from ret",
-    "retained_topk_whole": _H + _IDOM + "select * from ret order by retained_bytes desc, object_id limit 50",
-    "dominatees_whole": _H + _IDOM + f"select object_id, retained_bytes from ret join idom on id = object_id where up = {K + 1}",
-    "diff_entries_whole": _DIFF_WHOLE + "select object_id, entry, changed, tag, class_key from e",
-    "diff_by_class_whole": _DIFF_WHOLE + "select * from c",
-    "diff_top_whole": _DIFF_WHOLE + "select class_name, count_added, count_removed from c order by count_added + count_removed desc, class_name, class_id limit 3",
-    "diff_net_topk_whole": _DIFF_WHOLE + "select class_name, net_change from c order by abs(net_change) desc, class_name, class_id limit 3",
-    "diff_totals_whole": _DIFF_WHOLE + "select " + ", ".join(f"cast(sum({x}) as bigint) {x}" for x in ("count_removed", "count_added", "count_common_unchanged", "count_common_changed", "count_common")) + " from c",
-    "address_reuse_whole": _DIFF_WHOLE + "select object_id from e where reused",
-    "resolved_instances_whole": _H + f", f as ({_FIELDS}) select f.object_id, class_name, f.ord, f.name, f.ref_id, f.i, f.d from f join inst on inst.id = f.object_id join names on class_id = cls",
-    "obj_array_elements_whole": _H + "select arr array_id, pos, el element_id from elems",
-    "is_gc_root_whole": _H + "select id object_id, id in (select id from roots) is_root from obj",
+    "dominators": _H + _IDOM + "select id object_id, up dominator_id from idom",
+    "dominators_distributed": _H + _IDOM + "select id object_id, up dominator_id from idom",
+    "retained_sizes": _H + _IDOM + "select * from ret",
+    "retained_topk": _H + _IDOM + "select * from ret order by retained_bytes desc, object_id limit 50",
+    "dominatees": _H + _IDOM + f"select object_id, retained_bytes from ret join idom on id = object_id where up = {K + 1}",
+    "diff_entries": _DIFF + "select object_id, entry, changed, tag, class_key from e",
+    "diff_by_class": _DIFF + "select * from c",
+    "diff_top": _DIFF + "select class_name, count_added, count_removed from c order by count_added + count_removed desc, class_name, class_id limit 3",
+    "diff_net_topk": _DIFF + "select class_name, net_change from c order by abs(net_change) desc, class_name, class_id limit 3",
+    "diff_totals": _DIFF + "select " + ", ".join(f"cast(sum({x}) as bigint) {x}" for x in ("count_removed", "count_added", "count_common_unchanged", "count_common_changed", "count_common")) + " from c",
+    "address_reuse": _DIFF + "select object_id from e where reused",
+    "resolved_instances": _H + f", f as ({_FIELDS}) select f.object_id, class_name, f.ord, f.name, f.ref_id, f.i, f.d from f join inst on inst.id = f.object_id join names on class_id = cls",
+    "obj_array_elements": _H + "select arr array_id, pos, el element_id from elems",
+    "prim_array_decode": f"""with units as (select {22 * K}::bigint + doc_id id, 5 code, flatten([case when unicode(c) < 65536 then [unicode(c)]
+         else [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] end for c in regexp_extract_all(text, '(?s).')]) v from documents where text is not null
+         union all select {20 * K}::bigint + p_partkey, 8, [unicode(c) for c in regexp_extract_all(p_name, '(?s).')] from part)
+       select id array_id, code::int element_type, unnest(generate_series(0, len(v) - 1)) pos, unnest(v)::bigint i, null::double d from units where len(v) > 0
+       union all select {21 * K}::bigint + vec_id, 6, unnest(generate_series(0, len(embedding) - 1)), null, unnest(embedding)::double from embeddings""",
+    "is_gc_root": _H + "select id object_id, id in (select id from roots) is_root from obj",
 }
