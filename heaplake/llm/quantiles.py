@@ -14,10 +14,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE = 4096
+
+
+def _ordered(bits: np.ndarray) -> np.ndarray:
+    """Turns the bits of doubles, as longs, into longs of the same order, and such longs back into bits."""
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
 _FLUSH = 1_000_000
 _STATE = "measure string, grp string, day date, level int, n long, err long, lo long, hi long, vals array<long>"
 _KEYS = ["measure", "grp", "day"]
@@ -97,6 +105,9 @@ def _leaves(size: int):
         column = t.column(3).combine_chunks()
         given = column.is_valid().to_numpy(zero_copy_only=False)
         value = column.fill_null(0).to_numpy(zero_copy_only=False)
+        if value.dtype == np.float64:
+            value = np.where(np.isnan(value), np.nan, value + 0.0)  # one NaN, above everything, and one zero
+            value = _ordered(value.view("int64"))
         order = np.lexsort((value, ~given, code))
         code, value, given = code[order], value[order], given[order]
         start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, "int64")
@@ -172,9 +183,18 @@ def summarise(df: DataFrame, measure: Column, group: Column, day: Column, value:
     """The summary of ``value`` per measure, group and day, as buffer rows.
 
     Null values count nowhere; a group of nulls only has a summary of no values. Null groups and days are groups of their
-    own. Ties keep their multiplicity. ``value`` is taken as a 64-bit integer.
+    own. Ties keep their multiplicity. Integers are kept as 64-bit integers; floats and doubles as the integers of the same
+    order (pass ``real`` to :func:`percentiles` to get them back; NaN comes after all numbers, -0.0 is 0.0). Other types
+    are a ValueError: nothing is rounded silently.
     """
-    rows = df.select(measure.cast("string").alias("measure"), group.cast("string").alias("grp"), day.cast("date").alias("day"), value.cast("long").alias("value"))
+    kind = df.select(value.alias("v")).dtypes[0][1]
+    if kind in ("float", "double"):
+        value = value.cast("double")
+    elif kind in ("bigint", "int", "smallint", "tinyint"):
+        value = value.cast("long")
+    else:
+        raise ValueError(f"percentiles of {kind}: cast to a 64-bit integer or a double first")
+    rows = df.select(measure.cast("string").alias("measure"), group.cast("string").alias("grp"), day.cast("date").alias("day"), value.alias("value"))
     return merge_summaries(rows.mapInArrow(_leaves(size), _STATE), _KEYS, size)
 
 
@@ -236,12 +256,55 @@ def _evaluate(fractions: Sequence[float]):
     return run
 
 
-def percentiles(states: DataFrame, fractions: dict[str, float]) -> DataFrame:
+def percentiles(states: DataFrame, fractions: dict[str, float], *, real: bool = False) -> DataFrame:
     """measure, grp, day, n, min_value, max_value, rank_error and one column per fraction.
 
     The value of a fraction q is the smallest one whose rank is at least ``ceil(q * n)``, off by at most ``rank_error``
     ranks; with rank_error 0 it is exact, as are min_value and max_value always. A summary of no values gives nulls.
+    ``real``: the summaries are of doubles.
+
+    A summary that is one sorted buffer of single values, as most are, is read off in the JVM; only summaries of several
+    buffers go to Python.
+    """
+    w = Window.partitionBy(*_KEYS)
+    counted = states.withColumn("_rows", F.count("*").over(w))
+    alone = (F.col("_rows") == 1) & (F.col("level") == 0)
+    n = F.size("vals")
+
+    def at(q: float) -> Column:
+        rank = F.greatest(F.lit(1), n - F.floor(n - F.lit(float(q)) * n)).cast("int")
+        return F.when(n > 0, F.element_at("vals", F.least(rank, F.greatest(n, F.lit(1)))))
+
+    direct = counted.where(alone).select(*_KEYS, n.cast("long").alias("n"), F.col("lo").alias("min_value"), F.col("hi").alias("max_value"), "err", F.array(*[at(q) for q in fractions.values()]).alias("found"))
+    direct = direct.withColumnRenamed("err", "rank_error")
+    several = counted.where(~alone).drop("_rows").sortWithinPartitions(*_KEYS, "level")
+    rows = direct.unionByName(several.mapInArrow(_evaluate(list(fractions.values())), "measure string, grp string, day date, n long, min_value long, max_value long, rank_error long, found array<long>"))
+    shown = rows.select(*_KEYS, "n", "min_value", "max_value", "rank_error", *[F.col("found")[i].alias(c) for i, c in enumerate(fractions)])
+    return shown.withColumns({c: _double(F.col(c)) for c in ("min_value", "max_value", *fractions)}) if real else shown
+
+
+@F.arrow_udf(T.DoubleType())
+def _double(ordered: pa.Array) -> pa.Array:
+    bits = _ordered(ordered.fill_null(0).to_numpy(zero_copy_only=False).astype("int64"))
+    return pa.array(bits.view("float64"), mask=ordered.is_null().to_numpy(zero_copy_only=False))
+
+
+def rank_checks(rows: DataFrame, found: DataFrame, keys: Sequence[str], fractions: dict[str, float]) -> DataFrame:
+    """For each group and fraction whether the value found lies within ``rank_error`` of its rank among all ``rows``.
+
+    ``rows``: keys and value; ``found``: keys, n, rank_error and a column per fraction. Ranks are counted over the values as
+    they are, so this is an exact check of :func:`percentiles`. Groups are aggregated where their rows lie.
     """
-    sorted_ = states.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "level")
-    rows = sorted_.mapInArrow(_evaluate(list(fractions.values())), "measure string, grp string, day date, n long, min_value long, max_value long, rank_error long, found array<long>")
-    return rows.select(*_KEYS, "n", "min_value", "max_value", "rank_error", *[F.col("found")[i].alias(c) for i, c in enumerate(fractions)])
+    few = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "rank_error", *fractions)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    both = rows.where("value is not null").join(few, same)
+    below = both.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.first("rank_error").alias("err"),
+        *[F.count(F.when(F.col("value") < F.col(c), 1)).alias(f"_lt_{c}") for c in fractions], *[F.count(F.when(F.col("value") <= F.col(c), 1)).alias(f"_le_{c}") for c in fractions],
+    )
+
+    def within(c: str, q: float) -> Column:
+        rank = F.greatest(F.lit(1), F.col("n") - F.floor(F.col("n") - F.lit(float(q)) * F.col("n")))
+        return (F.col(f"_lt_{c}") + 1 - F.col("err") <= rank) & (rank <= F.col(f"_le_{c}") + F.col("err"))
+
+    return below.select(*keys, "n", *[within(c, q).alias(c) for c, q in fractions.items()])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialise, table
 from . import mixing, quantiles, truncation, words
 
 _FRACTIONS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
@@ -17,13 +17,17 @@ def _first(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("b")).select("b.grp", "b.ts", "b.value")
 
 
-def _daily(spark: SparkSession, d: str) -> DataFrame:
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    """measure, grp, ts and value of every record."""
     sizes = _first(table(spark, d, "array_size"), ["dump_id", "object_id"], "kind", "byte_size")
     retained = _first(table(spark, d, "dominator"), ["dump_id", "object_id"], "dump_id", "retained_bytes")
     shallow = _first(table(spark, d, "histogram"), ["dump_id", "batch_no"], "class_id", "shallow_bytes")
     named = [rows.withColumn("measure", F.lit(m)) for m, rows in (("array_size.byte_size", sizes), ("dominator.retained_bytes", retained), ("histogram.shallow_bytes", shallow))]
-    rows = named[0].unionByName(named[1]).unionByName(named[2])
-    return quantiles.summarise(rows, F.col("measure"), F.col("grp"), F.to_date("ts"), F.col("value"))
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.summarise(_values(spark, d), F.col("measure"), F.col("grp"), F.to_date("ts"), F.col("value"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -47,6 +51,27 @@ def p4_measures(spark: SparkSession, d: str) -> DataFrame:
     return _shown(quantiles.percentiles(merged, _FRACTIONS)).drop("day", "group_key")
 
 
+def _bounds(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
+    """n of each group and, for each fraction, whether the value found is within rank_error of its rank among all values."""
+    rows = materialise(_values(spark, d).withColumn("day", F.to_date("ts")), "values")
+    states = quantiles.summarise(rows, F.col("measure"), F.col("grp"), F.col("day"), F.col("value"))
+    merged = states if "day" in by else quantiles.merge_summaries(states, by)
+    found = materialise(quantiles.percentiles(merged, _FRACTIONS), "found")
+    return _shown(quantiles.rank_checks(rows, found, by, _FRACTIONS))
+
+
+def p4_daily_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return _bounds(spark, d, ["measure", "grp", "day"])
+
+
+def p4_union_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return _bounds(spark, d, ["measure", "grp"])
+
+
+def p4_measures_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return _bounds(spark, d, ["measure"])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return words.encode_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -96,7 +121,7 @@ def p8_lengths(spark: SparkSession, d: str) -> DataFrame:
     return truncation.significant_lengths(truncation.length_tests(truncation.text_lengths(_documents(spark, d))))
 
 
-QUERIES = {f.__name__: f for f in (p4_daily, p4_union, p4_measures, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_report, p8_ways, p8_lengths)}
+QUERIES = {f.__name__: f for f in (p4_daily, p4_union, p4_measures, p4_daily_bounds, p4_union_bounds, p4_measures_bounds, p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_report, p8_ways, p8_lengths)}
 
 _P4 = """
 with v as (select 'array_size.byte_size' measure, any_value(kind) group_key, any_value(dump_ts) ts, any_value(byte_size) x from array_size group by dump_id, object_id
@@ -104,9 +129,13 @@ with v as (select 'array_size.byte_size' measure, any_value(kind) group_key, any
            union all select 'histogram.shallow_bytes', cast(any_value(class_id) as varchar), any_value(dump_ts), any_value(shallow_bytes) from histogram group by dump_id, batch_no)
 """
 _COLUMNS = "count(x) n, min(x) min_value, max(x) max_value, " + ", ".join(f"quantile_disc(x, {q}) {c}" for c, q in _FRACTIONS.items())
+_TRUE = ", ".join(f"true {c}" for c in _FRACTIONS)
 
 SQL = {
     "p4_daily": _P4 + f"select measure, group_key, cast(ts at time zone 'UTC' as date) \"day\", {_COLUMNS}, 0::bigint rank_error from v group by 1, 2, 3",
-    "p4_union": _P4 + f"select measure, group_key, {_COLUMNS}, 0::bigint rank_error from v group by 1, 2",
+    # of collapsed groups only the rank is bounded, so these say that every value found is within its bound
+    "p4_daily_bounds": _P4 + f"select measure, group_key, cast(ts at time zone 'UTC' as date) \"day\", count(x) n, {_TRUE} from v group by 1, 2, 3 having count(x) > 0",
+    "p4_union_bounds": _P4 + f"select measure, group_key, count(x) n, {_TRUE} from v group by 1, 2 having count(x) > 0",
+    "p4_measures_bounds": _P4 + f"select measure, count(x) n, {_TRUE} from v group by 1 having count(x) > 0",
     "p6_decoded": "select doc_id, md5(coalesce(text, '')) digest, length(coalesce(text, '')) chars from documents",
 }
