@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import dominators, graph, resolve, stats
+from .session import materialise
 from .sources import hprof
 
 #: How saved tables are ordered, so that point lookups skip row groups: (unsigned) key, then ties.
@@ -89,15 +90,16 @@ class Heap:
 
     @cached_property
     def names(self) -> DataFrame:
-        return resolve.class_names(self["load_class"], self["utf8_name"])
+        """Class-level tables are kept once: most operators join them several times."""
+        return materialise(resolve.class_names(self["load_class"], self["utf8_name"]), "names")
 
     @cached_property
     def layout(self) -> DataFrame:
-        return resolve.class_layout(self["class_dump"], self["utf8_name"], self.id_size)
+        return materialise(resolve.class_layout(self["class_dump"], self["utf8_name"], self.id_size, self.chain), "layout")
 
     @cached_property
     def chain(self) -> DataFrame:
-        return resolve.class_chain(self["class_dump"])
+        return materialise(resolve.class_chain(self["class_dump"]), "chain")
 
     @cached_property
     def types(self) -> DataFrame:

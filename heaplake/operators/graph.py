@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import scalars as S
-from ..session import materialise
+from ..session import join_few, materialise
 from . import hierarchy as trees
 from . import resolve
 
@@ -86,21 +85,19 @@ def reachable(refs: DataFrame, gc_root: DataFrame, nodes: DataFrame, every: int
     objects; references to others lead nowhere. Lineage is cut every level, so losing an executor costs one level.
     """
     edges = materialise(refs.select("to_object_id", "from_object_id"), "edges")
-    n = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = edges.repartition(n, "from_object_id").persist(StorageLevel.DISK_ONLY)  # levels are sent to the edges; a lost part is read again
     roots = gc_root.select("object_id").distinct()
     level = materialise(roots.select("object_id", F.lit(0).cast("long").alias("parent_id"), F.lit(0).alias("hops")), "level")
     seen = level
     hops = 0
     while level.limit(1).count():
         hops += 1
-        step = spread.join(level.select(F.col("object_id").alias("from_object_id")), "from_object_id")
+        # small levels are sent to the edges where they lie; large ones meet them spread, so that no array of many elements is one task
+        step = join_few(edges, level.select(F.col("object_id").alias("from_object_id")), ["from_object_id"], max_rows=1_000_000)
         new = step.groupBy(F.col("to_object_id").alias("object_id")).agg(F.min_by("from_object_id", S.unsigned_order(F.col("from_object_id"))).alias("parent_id"))
         level = materialise(new.join(seen.select("object_id"), "object_id", "left_anti").withColumn("hops", F.lit(hops)), "level")
         seen = seen.unionByName(level)
         if hops % every == 0:
             seen = materialise(seen, "seen")
-    spread.unpersist()
     # what isn't there refers to nothing, so it needs to be left out only now
     return materialise(seen.join(nodes.select("object_id").distinct(), "object_id", "left_semi"), "reached")
 

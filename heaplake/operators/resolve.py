@@ -81,14 +81,14 @@ def class_chain(class_dump: DataFrame) -> DataFrame:
     return solved.select(F.col("node").alias("class_id"), F.posexplode(F.coalesce("path", F.array("node"))).alias("hop", "ancestor_id"))
 
 
-def class_layout(class_dump: DataFrame, utf8_name: DataFrame, id_size: int = 8) -> DataFrame:
+def class_layout(class_dump: DataFrame, utf8_name: DataFrame, id_size: int = 8, chain: DataFrame | None = None) -> DataFrame:
     """The instance fields of every class with their place in the data: leaf class first, superclasses after it.
 
-    Columns: class_id, ord, declared_by, name, type_code, offset, width.
+    Columns: class_id, ord, declared_by, name, type_code, offset, width. ``chain``: the :func:`class_chain`, where it is known.
     """
     declared = class_dump.select(F.col("class_id").alias("declared_by"), F.posexplode("instance_fields").alias("_o", "_f")).select("declared_by", "_o", "_f.name_id", "_f.type_code")
     declared = lookup_names(declared, utf8_name, "name_id", "name").withColumn("width", S.type_width(F.col("type_code"), id_size).cast("long"))
-    chain = class_chain(class_dump).join(declared, F.col("ancestor_id") == F.col("declared_by"))
+    chain = (class_chain(class_dump) if chain is None else chain).join(declared, F.col("ancestor_id") == F.col("declared_by"))
     order = Window.partitionBy("class_id").orderBy("hop", "_o")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return chain.select(

@@ -168,12 +168,18 @@ def roots_listed(gc_root: DataFrame, root_type: str | None = None) -> DataFrame:
     return ranked.join(F.broadcast(counts), "root_type")  # nine rows
 
 
-def find_object(shallow: DataFrame, gc_root: DataFrame, object_id: int) -> DataFrame:
-    """The record of an id, at most one row: a dumped object before any root record."""
+def find_object(shallow: DataFrame, gc_root: DataFrame, object_id: int, tag: int | None = None) -> DataFrame:
+    """The record of an id (and of that tag, if one is given), at most one row: a dumped object before any root record."""
     dumped = shallow.where(F.col("object_id") == object_id).select("object_id", F.col("tag").cast("int").alias("tag"), F.lit(0).alias("_o"))
     tags = F.create_map(*[F.lit(x) for t, (slug, *_) in dims.ROOTS.items() for x in (slug, t)])
     roots = gc_root.where(F.col("object_id") == object_id).select("object_id", tags[F.col("root_type")].alias("tag"), F.lit(1).alias("_o"))
-    return dumped.unionByName(roots).orderBy("_o", "tag").limit(1).drop("_o")
+    found = dumped.unionByName(roots)
+    return (found if tag is None else found.where(F.col("tag") == tag)).orderBy("_o", "tag").limit(1).drop("_o")
+
+
+def at_position(records: DataFrame, position: int) -> DataFrame:
+    """The record at a place of the file, at most one row."""
+    return records.where(F.col("position") == position).limit(1)
 
 
 def heap_summary(sub_records: DataFrame, refs: DataFrame, threads: DataFrame, gc_root: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def page(analysis: Analysis, path: str, query: dict[str, str]) -> str:
         case ["diff"]:
             return _table(a.diff(dims.MAX_TOP_N))
         case ["diff", "object", i] if a.other is not None:
-            return _facts(Analysis(a.other, title=a.title).object_detail(parse_id(i)) or _missing(i))
+            return _facts((Analysis(a.other, title=a.title).object_detail(parse_id(i)) or _missing(i)) | {"address_reused": a.address_reused(parse_id(i))})
         case ["diff", ("removed" | "added" | "common") as entry]:
             key = parse_id(query["class"]) if "class" in query else None
             changed = query["changed"] == "1" if "changed" in query else None

@@ -238,3 +238,24 @@ def test_line_kinds_and_sizes(spark):
     sizes = spark.createDataFrame([(999,), (1500,), (2_000_000,), (3_100_000_000,)], "n long")
     assert [r[0] for r in rows(sizes.select(S.size_text(F.col("n"))))] == ["999 B", "1.5 KB", "2.0 MB", "3.1 GB"]
     assert [r[0] for r in rows(sizes.select(S.size_text(F.col("n"), False)))] == ["999B", "1.5K", "2.0M", "3.1G"]
+
+
+def test_lookups_by_tag_and_position(spark):
+    w = Writer().root("unknown", 0x10).root("thread_object", 0x10, 1, 2).class_dump(0x1).instance(0x10, 0x1, b"")
+    h = Heap.from_bytes(spark, w.bytes())
+    find = lambda *tag: [r["tag"] for r in stats.find_object(h.shallow, h["gc_root"], 0x10, *tag).collect()]
+    assert (find(), find(0x08), find(0xFF), find(0x22)) == ([0x21], [0x08], [0xFF], [])
+    first = h["sub_record"].orderBy("position").first()
+    assert stats.at_position(h["sub_record"], first["position"]).first()["tag"] == 0xFF and not stats.at_position(h["sub_record"], 1).count()
+
+
+def test_raw_arrays_in_pieces(spark):
+    from heaplake.facade import Analysis
+
+    w = Writer()
+    for i, (code, data) in enumerate({4: b"\1\0", 5: "aé".encode("utf-16-be"), 6: struct.pack(">2f", 0.5, -1), 7: struct.pack(">d", 0.1), 8: b"\xff\1", 9: b"\xff\xfe", 10: struct.pack(">3i", 1, -2, 3), 11: struct.pack(">q", -(1 << 63))}.items()):
+        w.prim_array(0x100 + i, code, data)
+    a = Analysis(Heap.from_bytes(spark, w.bytes()))
+    got = [a.array_text(0x100 + i) for i in range(8)]
+    assert got == ["true, false", "'a', 'é'", "0.5, -1.0", "0.1", "-1, 1", "-2", "1, -2, 3", str(-(1 << 63))]
+    assert list(a.array_pieces(0x106, piece=2)) == ["1, -2", ", 3"] and a.array_text(0x106, 2) == "1, -2" and a.array_text(0x999) == ""
