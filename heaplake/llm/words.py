@@ -165,10 +165,10 @@ def vocabulary_pieces(df: DataFrame, ranks: bytes | None = None) -> DataFrame:
 def decode_ids(df: DataFrame, key: str, ids: str, *, ranks: bytes | None = None) -> DataFrame:
     """``key`` and ``text`` of each row's token ids, through a join of the ids with the vocabulary.
 
-    Keys are expected to be unique; rows with equal keys would be joined into one text. The empty (or null) list gives
-    the empty text.
+    Rows are kept as they are: repeated or null keys give a row each. The empty (or null) list gives the empty text.
     """
-    parts = df.select(F.col(key), F.posexplode_outer(ids).alias("at", "id"))
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(ids).alias("_ids"))
+    parts = rows.select("_row", "_key", F.posexplode_outer("_ids").alias("at", "id"))
     pieces = parts.join(F.broadcast(vocabulary_pieces(df, ranks)), "id", "left")  # a fixed vocabulary
-    ordered = pieces.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))).alias("p"))
-    return ordered.select(key, F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")), "UTF-8").alias("text"))
+    ordered = pieces.groupBy("_row", "_key").agg(F.sort_array(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))).alias("p"))
+    return ordered.select(F.col("_key").alias(key), F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")), "UTF-8").alias("text"))
